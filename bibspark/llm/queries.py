@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files, packing, token_files
+from . import files, packing, simhash, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,6 +24,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = files.scratch(spark, "warc")
+    names = [name for name, _ in warc.write(table(spark, sf_dir, "pages"), uri)]
+    return warc.read(spark, uri, names, payloads=False).drop("target_uri")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    # Unsigned, 16 digits, lower case.
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -31,6 +43,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op5_warc": op5_warc,
+    "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
 
