@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files, packing, simhash, token_files, warc
+from . import files, lines, packing, simhash, sql, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,6 +24,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.quality_rules(table(spark, sf_dir, "documents"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
+    return found.select("doc_id", *(F.col(f"rule_{c}").alias(c) for c in names))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "dedup_lines", "dedup_removed")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = files.scratch(spark, "warc")
     names = [name for name, _ in warc.write(table(spark, sf_dir, "pages"), uri)]
@@ -43,10 +53,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op5_warc": op5_warc,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": sql.QUALITY_RULES, "op3_line_dedup": sql.LINE_DEDUP}
