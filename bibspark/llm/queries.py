@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files, lines, packing, simhash, sql, token_files, warc
+from . import files, lines, mixing, packing, simhash, sql, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +40,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, uri, names, payloads=False).drop("target_uri")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.allocate(table(spark, sf_dir, "documents"))
+    found = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     # Unsigned, 16 digits, lower case.
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op5_warc": op5_warc,
+    "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
