@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files, lines, mixing, packing, simhash, sql, token_files, warc
+from . import embeddings, files, lines, mixing, packing, simhash, sql, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "dedup_lines", "dedup_removed")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = files.scratch(spark, "warc")
     names = [name for name, _ in warc.write(table(spark, sf_dir, "pages"), uri)]
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_embeddings": op4_embeddings,
     "op5_warc": op5_warc,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
