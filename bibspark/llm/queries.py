@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, files, lines, mixing, packing, simhash, sql, token_files, warc
+from . import brown, embeddings, files, lines, mixing, packing, simhash, sql, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -44,6 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, uri, names, payloads=False).drop("target_uri")
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"), held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.allocate(table(spark, sf_dir, "documents"))
     found = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_embeddings": op4_embeddings,
     "op5_warc": op5_warc,
+    "op6_brown": op6_brown,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
