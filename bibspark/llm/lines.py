@@ -60,7 +60,9 @@ def base_features(docs: DataFrame, text: str) -> DataFrame:
     })
     out = out.withColumns({"__some": F.size(F.array_distinct("__h")) < F.size("__h"), "__k": F.length(F.bin(F.size("__h")))})
     out = out.withColumn("__n_repeat_words", F.when(F.col("__some"), repeat_words("__h", "__k")).otherwise(F.lit(0)).cast("long"))
-    return out.drop("__t", "__w", "__l", "__h", "__some", "__k")
+    # A column that isn't deterministic keeps Catalyst from pushing a later filter below, which would copy the
+    # definitions of words and windows into lambdas and evaluate them for every element.
+    return out.withColumn("__fence", F.monotonically_increasing_id()).drop("__t", "__w", "__l", "__h", "__some", "__k")
 
 
 def quality_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_share: float = 0.2, min_left: float = 0.5) -> DataFrame:
@@ -97,7 +99,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "s
     out = out.withColumn("rule_base_failed", (F.col("rule_n_words") < 50) | (100 * F.col("rule_n_repeat_words") > 50 * F.col("rule_n_words")))
     left = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("__gone", F.xxhash64(normalised(x))), F.lit(False)))
     out = out.withColumns({
-        "rule_kept": ~F.col("rule_base_failed") & (F.col("rule_n_words") - F.col("rule_words_removed") >= min_left * F.col("rule_n_words")),
+        "rule_kept": (F.col("__fence") >= 0) & ~F.col("rule_base_failed") & (F.col("rule_n_words") - F.col("rule_words_removed") >= min_left * F.col("rule_n_words")),
         "rule_text": F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(left, "\n")),
     })
     return out.select(*(f"`{c}`" for c in docs.columns), *(c for c in out.columns if c.startswith("rule_") and c not in docs.columns))

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, embeddings, files, lines, mixing, packing, simhash, sql, token_files, warc
+from . import brown, convnet, embeddings, files, lines, mixing, packing, simhash, sql, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,6 +60,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return convnet.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=held_out)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_brown": op6_brown,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_quality_net": op9_quality_net,
     "op10_packing": op10_packing,
 }
 

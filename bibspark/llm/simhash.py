@@ -18,7 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -60,11 +60,11 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp): each whole text's fingerprint as a signed long with the same bits."""
+    """(key, doc_id, fp): each whole text's fingerprint as a signed long with the same bits; key is row_key()."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.columns
+            keys, ids, texts = batch.columns
             fps, waiting, n = [], [], 0
             for t in texts:
                 waiting.append(shingle_hashes(t.as_py(), size))
@@ -73,9 +73,14 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     fps.append(majority(waiting))
                     waiting, n = [], 0
             fps.append(majority(waiting))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(fps).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([keys, ids, pa.array(np.concatenate(fps).view(np.int64))], names=["key", "doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, doc_id long, fp long")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -215,17 +220,32 @@ def links(fps: DataFrame, *, most: int = 3, run_limit: int = 1_000_000, buffer:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _rooted(docs: DataFrame, *, id_col: str, text_col: str, size: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, fp) of all rows, and (fp, first, root) of all fingerprints; root names a component."""
+    spark = docs.sparkSession
+    all_ = files.written(spark, fingerprints(docs, id_col=id_col, text_col=text_col, size=size), "fingerprints")
+    classes = files.written(spark, all_.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("doc_id").alias("least")), "classes")
+    joined = components(spark, links(classes.select("fp"), most=most))
+    return all_, classes.join(joined, classes.fp == joined.id, "left").select("fp", "first", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, most: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable by links, the document's own included.
 
     Defined cases: null and empty texts have the fingerprint zero and link like others; repeated ids keep a row each; a null id
     takes part, and is the component's id only if no other is there; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    all_ = files.written(spark, fingerprints(docs, id_col=id_col, text_col=text_col, size=size), "fingerprints")
-    classes = files.written(spark, all_.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    joined = components(spark, links(classes.select("fp"), most=most))
-    rooted = classes.join(joined, classes.fp == joined.id, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    all_, rooted = _rooted(docs, id_col=id_col, text_col=text_col, size=size, most=most)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(least, "root").select("fp", "component_id")
     return all_.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, most: int = 3) -> DataFrame:
+    """docs with one row of each component: that with the smallest id (null first); of equal rows one stays."""
+    _, rooted = _rooted(docs, id_col=id_col, text_col=text_col, size=size, most=most)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")).distinct()
+    kept = files.written(docs.sparkSession, kept, "kept")
+    out = docs.withColumn("__key", row_key(id_col, text_col)).join(kept, "__key")
+    once = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    return out.withColumn("__n", once).filter("__n = 1").select(*(f"`{c}`" for c in docs.columns))
