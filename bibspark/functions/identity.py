@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import UNDEFINED_LANGUAGE
-from .text import WHITE_CLASS, fold_text, trimmed
+from .text import WHITE_CLASS, trimmed
 
 # ---- languages -------------------------------------------------------------------------------------------------------
 
@@ -407,9 +407,9 @@ def distinct_folds(names: Column, fold: Column | None = None) -> Column:
     clean = F.transform(names, trimmed)
     keys = F.transform(clean, F.upper) if fold is None else fold
     rows = F.arrays_zip(clean.alias("n"), keys.alias("k"))
-    seen = F.filter(rows, lambda x: x["0"] != "")
-    first = F.filter(seen, lambda x, i: F.array_position(F.transform(seen, lambda y: y["1"]), x["1"]) == i + 1)
-    return F.transform(first, lambda x: x["0"])
+    seen = F.filter(rows, lambda x: x["n"] != "")
+    first = F.filter(seen, lambda x, i: F.array_position(F.transform(seen, lambda y: y["k"]), x["k"]) == i + 1)
+    return F.transform(first, lambda x: x["n"])
 
 
 def content_hash(title: Column, authors: Column, series: Column, series_number: Column, lang: Column, annotation: Column, publisher: Column, year: Column, rating: Column, genre_names: Column, identifiers: Column) -> Column:
@@ -420,7 +420,3 @@ def content_hash(title: Column, authors: Column, series: Column, series_number:
     pairs = F.transform(identifiers, lambda x: F.concat(x["type"], F.lit("="), x["value"]))
     parts = [text(title), bar(authors), text(series), short_number(series_number), text(lang), text(annotation), text(publisher), F.coalesce(year, F.lit(0)).cast("string"), text(rating.cast("string")), bar(genre_names), bar(pairs)]
     return F.sha2(F.concat_ws(_SEPARATOR, *parts), 256)
-
-
-def fold_key(name: str) -> str:
-    return fold_text(name)

@@ -56,6 +56,12 @@ def fold(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else fold_text(x))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def fold_all(lists: pd.Series) -> pd.Series:
+    """The folds of a list of names, in its order."""
+    return lists.map(lambda xs: None if xs is None else [None if x is None else fold_text(x) for x in xs])
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 

@@ -20,12 +20,15 @@ def format_priority(file_format: Column) -> Column:
 
 def with_identity(editions: DataFrame) -> DataFrame:
     """editions with cleaned language, genres and identifiers, their key and their hash."""
-    out = editions.withColumns({
+    named = editions.withColumn("authors", F.filter(F.coalesce("authors", F.array().cast("array<string>")), lambda a: a.isNotNull()))
+    named = named.withColumn("__folds", tx.fold_all(F.col("authors")))  # a column of its own: lambdas can't hold a UDF
+    out = named.withColumns({
         "language": idt.language(F.col("language")),
         "genres": idt.genres(F.coalesce("genres", F.array().cast("array<string>"))),
         "identifiers": idt.clean_identifiers(F.coalesce("identifiers", F.array().cast("array<struct<type:string,value:string>>"))),
-        "authors": idt.distinct_folds(F.coalesce("authors", F.array().cast("array<string>"))),
+        "authors": idt.distinct_folds(F.col("authors"), F.col("__folds")),
     })
+    out = out.drop("__folds")
     out = out.withColumn("library_key", F.when(F.col("derive_identity"), idt.group_key(F.col("title"), F.col("authors"), F.col("language"))).otherwise(F.col("library_key")))
     return out.withColumn("content_hash", idt.content_hash(*(F.col(c) for c in ("title", "authors", "series", "series_number", "language", "annotation", "publisher", "year", "rating", "genres", "identifiers"))))
 

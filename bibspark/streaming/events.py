@@ -17,7 +17,9 @@ def debounced(events: DataFrame, key: str, *, ts: str = "ts", quiet: str = QUIET
 
     A stream yields a burst once the watermark has passed its end.
     """
-    burst = F.session_window(F.col(ts).cast("timestamp"), quiet)
+    # A cast would hide a watermark, so only other types get one.
+    time = F.col(ts) if dict(events.dtypes)[ts] == "timestamp" else F.col(ts).cast("timestamp")
+    burst = F.session_window(time, quiet)
     return events.groupBy(F.col(key), burst.alias("w")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("n")).drop("w")
 
 
