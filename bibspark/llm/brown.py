@@ -1,8 +1,8 @@
 """Scoring texts with a Brown class-based bigram model.
 
 A token's probability is P(class | class before) * P(item | class) * P(word | item).  Items are what the exchange clustering
-moves between classes: every word with at least the share ``share`` of all training tokens (so there are at most
-1/share of them at any size) is an item of its own, and every other word, known or not, belongs to one of ``SUFFIXES``
+moves between classes: every word with at least the share ``share`` of all training tokens, and seen ``min_count``
+times (so there are at most 1/share of them at any size), is an item of its own, and every other word, known or not, belongs to one of ``SUFFIXES``
 items by its last bytes.  Within such an item words have discounted relative frequencies, and the discount is left to
 words never seen.  Class transitions are smoothed towards class frequencies, so the model sums to one and never gives zero.
 
@@ -73,7 +73,7 @@ class Items(dict):
         return item
 
 
-def vocabulary(training: DataFrame, *, share: float, flush: int = 400_000) -> tuple[DataFrame, Vocabulary]:
+def vocabulary(training: DataFrame, *, share: float, min_count: int = 5, flush: int = 400_000) -> tuple[DataFrame, Vocabulary]:
     """The counted vocabulary (word, c) as a written table, and its summary."""
     spark = training.sparkSession
 
@@ -90,7 +90,7 @@ def vocabulary(training: DataFrame, *, share: float, flush: int = 400_000) -> tu
     words = training.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     words = files.written(spark, words, "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = share * total
+    least = max(share * total, min_count)
     top = words.filter((F.col("c") >= least) | (F.length("word") == 0)).orderBy(F.desc("c"), "word").collect()
 
     def by_suffix(batches):
