@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The characters that count as white space, as text to strip and as a class for regular expressions.
-WHITE = " \t\n\v\f\r\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+WHITE = " \t\n\v\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WHITE_CLASS = "[ \\t\\n\\x0B\\f\\r\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 #: The alphabet in display order.

@@ -14,6 +14,7 @@ from .operators import browse, search, views
 from .operators.browse import BookFilter, Facet
 from .operators.driver_views import catalog, seconds, table, terms
 from .plans import editions as ed
+from .plans import enrich as en
 from .plans import reconcile as rc
 from .streaming import events as ev
 
@@ -617,6 +618,28 @@ def resolve_identifiers(spark, sf_dir):
     return ed.resolve(ed.strong_pairs(rows, id_col="id", scope="library"))
 
 
+_ENRICH = """SELECT o_orderkey AS id, {title} AS title, CASE WHEN o_orderkey % 2 = 0 AND (o_orderkey % 3 <> 0 OR {keep}) THEN 'own' WHEN o_orderkey % 3 = 0 THEN 'found' END AS publisher,
+CASE WHEN o_orderkey % 3 = 0 THEN 2001 END AS year, (o_orderkey % 3 = 0)::INTEGER AS checked, CASE WHEN {changed} THEN sha256('h:enriched') ELSE 'h' END AS content_hash FROM orders"""
+
+
+def _enriched(spark: SparkSession, sf_dir: str, overwrite: bool) -> DataFrame:
+    key, empty = F.col("o_orderkey"), F.array().cast("array<string>")
+    null = F.lit(None).cast("string")
+    books = table(spark, sf_dir, "orders").select(key.alias("id"), F.lit("t").alias("title"), empty.alias("authors"), empty.alias("genres"), null.alias("annotation"), null.alias("series"), F.lit(None).cast("double").alias("series_number"), F.lit("en").alias("language"), F.when(key % 2 == 0, "own").alias("publisher"), F.lit(None).cast("int").alias("year"), F.create_map().cast("map<string,string>").alias("identifiers"), F.lit("h").alias("content_hash"), F.lit(0).alias("enrichment_checked"), F.lit(0).alias("manually_matched"))
+    records = books.filter("id % 3 = 0").select("id", F.lit("new").alias("title"), "authors", "genres", F.lit("").alias("annotation"), F.lit("").alias("series"), F.lit(0.0).alias("series_number"), F.lit("").alias("language"), F.lit("found").alias("publisher"), F.lit(2001).alias("year"), F.array().cast("array<struct<type:string,value:string>>").alias("identifiers"))
+    return en.enriched(books, records, overwrite=overwrite).select("id", "title", "publisher", "year", F.col("enrichment_checked").alias("checked"), "content_hash")
+
+
+@query(_ENRICH.format(title="'t'", keep="true", changed="o_orderkey % 3 = 0"))
+def enrich_gaps(spark, sf_dir):
+    return _enriched(spark, sf_dir, False)
+
+
+@query(_ENRICH.format(title="CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 't' END", keep="false", changed="o_orderkey % 3 = 0"))
+def enrich_overwrite(spark, sf_dir):
+    return _enriched(spark, sf_dir, True)
+
+
 # ---- events ----------------------------------------------------------------------------------------------------------
 
 
