@@ -31,7 +31,7 @@ from . import files
 SUFFIXES, DISCOUNT, PRIOR, FLOOR = 2048, 0.5, 8.0, 0.1
 #: The token that ends every text; it stands before its first token too.
 END = b""
-_CHUNK = 256
+_CHUNK = 32
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -61,7 +61,7 @@ class Vocabulary:
 class Items(dict):
     """word -> item; others than frequent words by their suffix, kept until ``limit`` of them."""
 
-    def __init__(self, words: list[bytes], limit: int = 400_000):
+    def __init__(self, words: list[bytes], limit: int = 250_000):
         super().__init__(zip(words, range(len(words)), strict=True))
         self.base, self.limit = words, limit
 
@@ -73,7 +73,7 @@ class Items(dict):
         return item
 
 
-def vocabulary(training: DataFrame, *, share: float, min_count: int = 5, flush: int = 400_000) -> tuple[DataFrame, Vocabulary]:
+def vocabulary(training: DataFrame, *, share: float, min_count: int = 5, flush: int = 250_000) -> tuple[DataFrame, Vocabulary]:
     """The counted vocabulary (word, c) as a written table, and its summary."""
     spark = training.sparkSession
 
@@ -109,6 +109,10 @@ def vocabulary(training: DataFrame, *, share: float, min_count: int = 5, flush:
     return words, Vocabulary(int(total), int(distinct), found, np.concatenate([np.array([r.c for r in top], np.int64), n]), t)
 
 
+def _numbers(table: dict, words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(table.__getitem__, words), np.int32, count=len(words))
+
+
 def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
@@ -125,21 +129,21 @@ def contexts(training: DataFrame, vocab: Vocabulary, classes: np.ndarray, n_clas
         end = items[END]
 
         def add(held):
-            if not held:
-                return
-            at = np.fromiter(map(items.__getitem__, held), np.int64, count=len(held))
-            before = of[np.concatenate([[end], at[:-1]])]
-            out[:, :n_classes] += np.bincount(at * n_classes + before, minlength=n * n_classes).reshape(n, n_classes)
-            out[:, n_classes:] += np.bincount(np.concatenate([[end], at[:-1]]) * n_classes + of[at], minlength=n * n_classes).reshape(n, n_classes)
-
-        held: list[bytes] = []  # texts back to back: the end of one stands before the next
+            at = np.concatenate(held).astype(np.int64)
+            last = np.concatenate([[end], at[:-1]])  # the end of one text stands before the next
+            out[:, :n_classes] += np.bincount(at * n_classes + of[last], minlength=n * n_classes).reshape(n, n_classes)
+            out[:, n_classes:] += np.bincount(last * n_classes + of[at], minlength=n * n_classes).reshape(n, n_classes)
+
+        held, size = [], 0  # texts as items, so that words don't pile up
         for batch in batches:
             for t in batch.column(0):
-                held += tokens(t.as_py())
-                if len(held) >= 1 << 20:
+                held.append(_numbers(items, tokens(t.as_py())))
+                size += len(held[-1])
+                if size >= 1 << 19:
                     add(held)
-                    held = []
-        add(held)
+                    held, size = [], 0
+        if held:
+            add(held)
         for i in range(0, n, _CHUNK):
             if out[i : i + _CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(out[i : i + _CHUNK].astype("<u4").tobytes(), 1)], pa.binary())], names=["i", "counts"])
@@ -253,12 +257,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
         m, number = shared.value, TaskContext.get().partitionId() << 32
         n_words = len(m.vocab.words)
         base = np.log10((m.vocab.counts[:n_words] + 1) / m.vocab.unit)
-        waiting, n = [], 0
+        waiting, n, table = [], 0, _Block(m.vocab.words)
 
         def block():
-            table = _Block(m.vocab.words)
             sizes = np.array([len(w[2]) for w in waiting])
-            code = np.fromiter((table[t] for w in waiting for t in w[2]), np.int64, count=int(sizes.sum()))
+            code = np.concatenate([w[2] for w in waiting]).astype(np.int64)
             starts = np.cumsum(sizes) - sizes
             known = code >= 0
             suffixes = np.array([suffix(w) for w in table.others], np.int64)
@@ -282,11 +285,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
 
         for batch in batches:
             for doc, text, out in zip(*(batch.column(i) for i in range(3)), strict=True):
-                waiting.append((doc.as_py(), out.as_py(), tokens(text.as_py())))
+                waiting.append((doc.as_py(), out.as_py(), _numbers(table, tokens(text.as_py()))))
                 n += len(waiting[-1][2])
                 if n >= block_tokens:
                     yield block()
-                    number, waiting, n = number + 1, [], 0
+                    number, waiting, n, table = number + 1, [], 0, _Block(m.vocab.words)
         if waiting:
             yield block()
 
