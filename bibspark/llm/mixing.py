@@ -15,12 +15,13 @@ single task.  U depends on the document alone: reruns agree.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
+from .lines import BROADCAST_ROWS
 
 BINS = 1 << 16
 
@@ -88,21 +89,23 @@ def allocate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         used = units.filter("extra > 0").groupBy("src").agg(F.sum("words").alias("used"), F.count("*").alias("n"))
         gaps = room.join(used, "src", "left").select("src", (F.col("room") - F.coalesce("used", F.lit(0))).alias("gap"), F.coalesce("n", F.lit(0)).alias("n"))
         gaps = files.written(spark, gaps, "gaps")
-        before, taken = taken, gaps.agg(F.sum("n")).first()[0] or 0
+        before, (taken, sources) = taken, gaps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         if turn and taken == before:
             break
-        units = files.written(spark, _round(units, gaps.select("src", "gap")), "ranks")
+        # One row a source: broadcast if they are few, so that a hot source's documents stay where they are.
+        near = F.broadcast if sources <= BROADCAST_ROWS else (lambda table: table)
+        units = files.written(spark, _round(units, gaps.select("src", "gap"), near), "ranks")
     return units.select("doc_id", "source", "digest", "rows", "size", "source_size", "target", (F.col("sure") + F.col("extra")).alias("copies"))
 
 
-def _round(units: DataFrame, gaps: DataFrame) -> DataFrame:
-    """units after each source's gap is offered to its documents that fit it, in their order.  Spark broadcasts gaps by its file's size."""
+def _round(units: DataFrame, gaps: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """units after each source's gap is offered to its documents that fit it, in their order; near() joins a row a source."""
     fits = (F.col("extra") == 0) & F.col("bin").isNotNull() & (F.col("words") > 0) & (F.col("words") <= F.col("gap"))
-    bins = units.join(gaps, "src").filter(fits).groupBy("src", "bin", "gap").agg(F.sum("words").alias("s"))
+    bins = units.join(near(gaps), "src").filter(fits).groupBy("src", "bin", "gap").agg(F.sum("words").alias("s"))
     bins = bins.withColumn("upto", F.sum("s").over(Window.partitionBy("src").orderBy("bin")))
     # The bin in which the gap is filled, if the source's documents fill it.
     cut = bins.filter((F.col("upto") > F.col("gap")) & (F.col("upto") - F.col("s") <= F.col("gap"))).select("src", F.col("bin").alias("cut"), (F.col("gap") - F.col("upto") + F.col("s")).alias("left"))
-    marked = units.join(gaps.join(cut, "src", "left"), "src", "left")
+    marked = units.join(near(gaps.join(cut, "src", "left")), "src", "left")
     at = F.coalesce(fits & (F.col("bin") == F.col("cut")), F.lit(False))
     below = F.coalesce(fits & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), F.lit(False))
     in_order = Window.partitionBy("src").orderBy("v", F.col("doc_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, 0)
