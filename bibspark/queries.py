@@ -665,7 +665,7 @@ def queue_dedupe(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE x AS (SELECT user_id AS k, epoch_ms(ts) AS ms FROM events),
+WITH RECURSIVE x AS (SELECT user_id AS k, epoch_us(ts) // 1000 AS ms FROM events),
 r AS (SELECT k, min(ms) AS ms FROM x GROUP BY k UNION ALL SELECT r.k, (SELECT min(x.ms) FROM x WHERE x.k = r.k AND x.ms >= r.ms + 3600000) FROM r WHERE EXISTS (SELECT 1 FROM x WHERE x.k = r.k AND x.ms >= r.ms + 3600000))
 SELECT k AS user_id, ms FROM r""")
 def throttle_progress(spark, sf_dir):
