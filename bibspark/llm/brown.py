@@ -6,7 +6,7 @@ times (so there are at most 1/share of them at any size), is an item of its own,
 items by its last bytes.  Within such an item words have discounted relative frequencies, and the discount is left to
 words never seen.  Class transitions are smoothed towards class frequencies, so the model sums to one and never gives zero.
 
-Exchange: each turn scans the training texts, counts for each item the classes before and after it, and moves every other
+Exchange: the training texts are written once as item numbers; each turn scans them, counts for each item the classes before and after it, and moves every other
 item to the class that gains most likelihood, the rest staying; the next turn moves the others.  Tasks add their counts
 up in dense arrays and send them packed; the driver holds one array of items by classes, bounded by ``share``.
 
@@ -117,33 +117,45 @@ def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
-def contexts(training: DataFrame, vocab: Vocabulary, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """(items, 2 * n_classes): how often each class stands before and after each item."""
+def coded(training: DataFrame, vocab: Vocabulary, *, row_tokens: int = 1 << 20) -> DataFrame:
+    """(items): the training texts as item numbers, whole texts back to back in rows, written once for all turns."""
     spark = training.sparkSession
-    shared = spark.sparkContext.broadcast((vocab.words, classes))
-    n = len(classes)
+    shared = spark.sparkContext.broadcast(vocab.words)
+    kind = _kind(len(vocab.counts))
 
-    def count(batches):
-        words, of = shared.value
-        items, out = Items(words), np.zeros((n, 2 * n_classes), np.int64)
-        end = items[END]
-
-        def add(held):
-            at = np.concatenate(held).astype(np.int64)
-            last = np.concatenate([[end], at[:-1]])  # the end of one text stands before the next
-            out[:, :n_classes] += np.bincount(at * n_classes + of[last], minlength=n * n_classes).reshape(n, n_classes)
-            out[:, n_classes:] += np.bincount(last * n_classes + of[at], minlength=n * n_classes).reshape(n, n_classes)
-
-        held, size = [], 0  # texts as items, so that words don't pile up
+    def code(batches):
+        items, held, size = Items(shared.value), [], 0
         for batch in batches:
             for t in batch.column(0):
                 held.append(_numbers(items, tokens(t.as_py())))
                 size += len(held[-1])
-                if size >= 1 << 19:
-                    add(held)
+                if size >= row_tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.concatenate(held).astype(kind).tobytes(), 1)], pa.binary())], names=["items"])
                     held, size = [], 0
         if held:
-            add(held)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.concatenate(held).astype(kind).tobytes(), 1)], pa.binary())], names=["items"])
+
+    return files.written(spark, training.select("text").mapInArrow(code, "items binary"), "items")
+
+
+def _kind(n_items: int) -> str:
+    return "<u2" if n_items <= 1 << 16 else "<u4"
+
+
+def contexts(texts: DataFrame, vocab: Vocabulary, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """(items, 2 * n_classes): how often each class stands before and after each item of coded() texts."""
+    spark = texts.sparkSession
+    n, end, kind = len(classes), vocab.words.index(END) if END in vocab.words else 0, _kind(len(classes))
+    shared = spark.sparkContext.broadcast(classes)
+
+    def count(batches):
+        of, out = shared.value, np.zeros((n, 2 * n_classes), np.int64)
+        for batch in batches:
+            for row in batch.column(0):
+                at = np.frombuffer(zlib.decompress(row.as_py()), kind).astype(np.int64)
+                last = np.concatenate([[end], at[:-1]])  # the end of one text stands before the next
+                out[:, :n_classes] += np.bincount(at * n_classes + of[last], minlength=n * n_classes).reshape(n, n_classes)
+                out[:, n_classes:] += np.bincount(last * n_classes + of[at], minlength=n * n_classes).reshape(n, n_classes)
         for i in range(0, n, _CHUNK):
             if out[i : i + _CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(out[i : i + _CHUNK].astype("<u4").tobytes(), 1)], pa.binary())], names=["i", "counts"])
@@ -160,7 +172,7 @@ def contexts(training: DataFrame, vocab: Vocabulary, classes: np.ndarray, n_clas
         if now is not None:
             yield _packed(now, held)
 
-    parts = training.select("text").mapInArrow(count, "i long, counts binary").repartition("i").sortWithinPartitions("i")
+    parts = texts.mapInArrow(count, "i long, counts binary").repartition("i").sortWithinPartitions("i")
     out = np.zeros((n, 2 * n_classes), np.int64)
     for r in parts.mapInArrow(total, "i long, counts binary").collect():
         rows = np.frombuffer(zlib.decompress(r.counts), "<i8").reshape(-1, 2 * n_classes)
@@ -211,11 +223,11 @@ class Model:
 
 def train(training: DataFrame, *, share: float = 1e-5, n_classes: int = 64, turns: int = 3) -> tuple[DataFrame, Model]:
     words, vocab = vocabulary(training, share=share)
-    classes = first_classes(vocab, n_classes)
+    classes, texts = first_classes(vocab, n_classes), coded(training, vocab)
     for turn in range(turns):
         moving = np.arange(len(classes)) % 2 == turn % 2 if turn else np.ones(len(classes), bool)
-        classes = exchange(contexts(training, vocab, classes, n_classes), classes, n_classes, moving)
-    pairs = transitions(contexts(training, vocab, classes, n_classes), classes, n_classes).astype(float)
+        classes = exchange(contexts(texts, vocab, classes, n_classes), classes, n_classes, moving)
+    pairs = transitions(contexts(texts, vocab, classes, n_classes), classes, n_classes).astype(float)
     prior = (pairs.sum(0) + 1) / (pairs.sum() + n_classes)
     step = np.log10((pairs + PRIOR * prior) / (pairs.sum(1, keepdims=True) + PRIOR))
     mass = vocab.counts + FLOOR

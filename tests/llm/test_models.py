@@ -74,7 +74,7 @@ def test_brown_contexts(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     _, vocab = brown.vocabulary(rows, share=0.01)
     classes = np.arange(len(vocab.counts)) % 4
-    got = brown.contexts(rows, vocab, classes, 4)
+    got = brown.contexts(brown.coded(rows, vocab), vocab, classes, 4)
     items, want = brown.Items(vocab.words), np.zeros_like(got)
     for t in texts:
         before = items[brown.END]
