@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_files import encode
+from .token_files import encoded, selected
 
 #: Sequences of one task: its number in the high bits.
 _TASK_BITS = 33
@@ -121,14 +121,14 @@ def blocks(rows: Iterable[tuple[int | None, bytes]], width: int, most: int) -> I
         yield ids, packed
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, block_tokens: int = 4 << 20, slack: int = 16) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, block_tokens: int = 2 << 20, slack: int = 16) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): pieces with their ids as 32-bit little-endian bytes."""
 
     def run(batches):
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << _TASK_BITS
-        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), (x.as_buffer().to_pybytes() for x in b.column(1)), strict=True))
+        rows = (r for ids, packed in encoded(batches, tokenizer, end_id, "<u4") for r in zip(ids.to_pylist(), packed, strict=True))
         for ids, packed in blocks(rows, 4, block_tokens):
             names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
             out: list[list] = [[] for _ in names]
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
                     out = [[] for _ in names]
             yield _batch(out, names)
 
-    return encode(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return selected(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def _batch(columns: list[list], names: tuple[str, ...]) -> pa.RecordBatch:

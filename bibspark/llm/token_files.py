@@ -20,6 +20,7 @@ import json
 import uuid
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,15 @@ from .tokens import vocabulary_size, word_ids
 _NULL = np.iinfo(np.int64).min
 
 
-def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, dtype: str = "<u4") -> DataFrame:
-    """(doc_id, ids): the ids of each whole text, packed little-endian as ``dtype``, with ``end_id`` at the end."""
-    end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
+def selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches):
-        words = word_ids(tokenizer, dtype)
-        for batch in batches:
-            texts = batch.column(1)
-            packed = [(words.text(t.as_py()) if t.is_valid else b"") + end for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+def encoded(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int | None, dtype: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """For batches of selected(): their ids, and each whole text's token ids packed as ``dtype`` with ``end_id`` at the end."""
+    words, end = word_ids(tokenizer, dtype), b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
+    for batch in batches:
+        yield batch.column(0), [(words.text(t.as_py()) if t.is_valid else b"") + end for t in batch.column(1)]
 
 
 def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None) -> dict:
@@ -56,10 +54,10 @@ def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id",
     cuts = sorted(set(key.dropna().approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
     width = np.dtype(dtype).itemsize
 
-    def place(batches):
-        for batch in batches:
-            shard = [0 if d is None else bisect_right(cuts, d) for d in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], names=["shard", "doc_id", "ids"])
+    def deal(batches):
+        for ids, packed in encoded(batches, tokenizer, end_id, dtype):
+            shard = [0 if d is None else bisect_right(cuts, d) for d in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(packed, pa.binary())], names=["shard", "doc_id", "ids"])
 
     def save(batches):
         name, shard, first, total, docs_, offsets = uuid.uuid4().hex, 0, True, 0, [], [0]
@@ -79,7 +77,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id",
             out.write(np.array(docs_ + offsets, dtype="<i8").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "docs": [len(docs_)], "tokens": [total]})
 
-    dealt = encode(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, dtype=dtype).mapInArrow(place, "shard int, doc_id long, ids binary")
+    dealt = selected(docs, id_col, text_col).mapInArrow(deal, "shard int, doc_id long, ids binary")
     dealt = dealt.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("doc_id", "ids")
     done = sorted(dealt.mapInArrow(save, "shard int, name string, docs long, tokens long").collect(), key=lambda r: r.shard)
     base, parts = 0, []

@@ -26,7 +26,7 @@ class WordIds(dict):
     any other word takes the whole tokenizer.  tests/llm hold this against encode() of whole texts.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = 600_000, longest: int = 64):
         import json
 
         from tokenizers import Tokenizer
