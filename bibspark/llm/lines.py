@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import files
 
 SPACE = "[ \\t-\\r]+"
-#: Tables of this many narrow rows are broadcast at most; beyond it the join shuffles both sides.
+#: Tables of this many narrow rows, or array elements, are broadcast at most; beyond it the join shuffles both sides.
 BROADCAST_ROWS = 200_000
 
 
@@ -24,9 +24,10 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
 
 
-def small_or_shuffled(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its counted rows are few, else joined by shuffling."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def small_or_shuffled(table: DataFrame, elements: Column | None = None) -> DataFrame:
+    """A written table, to be broadcast if its rows, and the elements of its arrays, are counted and few, else joined by shuffling."""
+    size = table.agg(F.count("*") + (F.lit(0) if elements is None else F.coalesce(F.sum(elements), F.lit(0)))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
 
 
 def repeat_words(hashes: str, bits: str) -> Column:
@@ -127,7 +128,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     later = windows.join(small_or_shuffled(files.written(spark, firsts, "windows")), ["h", "g"]).filter(~F.struct("__id", "__d", "p").eqNullSafe(F.col("first")))
     gone = later.groupBy("__id", "__d").agg(F.collect_set("p").alias("__p"))
     gone = files.written(spark, gone.select(F.col("__id").alias("__gid"), F.col("__d").alias("__gd"), "__p"), "covered")
-    out = docs.withColumns(key).join(small_or_shuffled(gone), F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__d") == F.col("__gd")), "left")
+    out = docs.withColumns(key).join(small_or_shuffled(gone, F.size("__p")), F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__d") == F.col("__gd")), "left")
     out = out.withColumn("__all", F.split(text, "\n")).withColumn("__l", numbered.getField("i"))
     out = out.withColumn("__c", F.expr("array_distinct(flatten(transform(__p, x -> array(x, x + 1, x + 2))))"))
     kept = "array_except(sequence(0, size(__all) - 1), transform(__c, x -> __l[x]))"
