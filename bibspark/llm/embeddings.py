@@ -2,7 +2,9 @@
 
 Only vectors of one label are compared.  Equal vectors form a class and are settled by one aggregation; all below
 works on one representative of each class.  A table's hash rotates the unit vector by three rounds of random
-signs and a Hadamard transform and takes the nearest signed axis, in ``CUTS`` independent rotations.  A vector is
+signs and a Hadamard transform and takes the nearest signed axis, in several independent rotations.  There are as many
+rotations, at least two, as keep buckets of unrelated vectors small for the number of vectors, and with each more twice the
+tables, so that candidates grow in proportion and recall stays.  A vector is
 stored in its own bucket of every table and looks into the buckets of the next best axes as well (multiprobe).
 Buckets hold ids; a large one is dealt into chunks, and each pair of chunks is compared by its own task.  Pairs are
 verified by their cosine in double precision, the lower side's table first to find a pair reporting it alone.
@@ -10,6 +12,7 @@ verified by their cosine in double precision, the lower side's table first to fi
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from . import files
 from .graph import components
 
-#: Rotations of one hash; a bucket is named by the nearest axis in each.
-CUTS = 2
+#: Unrelated vectors that a bucket may hold on average; the most rotations of one hash; axes tried in each.
+CROWD, MOST_CUTS, AXES = 16, 5, 4
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -46,18 +49,24 @@ def rotate(units: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def buckets(units: np.ndarray, table: int, probes: int) -> np.ndarray:
+def cuts_for(n: int, dim: int) -> int:
+    """Rotations of one hash for n vectors: a bucket of unrelated ones then holds about CROWD of them at most."""
+    axes = 2 * (1 << max(0, dim - 1).bit_length())
+    return min(MOST_CUTS, max(2, math.ceil(math.log(max(1, n) / CROWD) / math.log(axes)))) if n > CROWD else 2
+
+
+def buckets(units: np.ndarray, table: int, probes: int, cuts: int = 2) -> np.ndarray:
     """(vectors, probes) bucket numbers of one table: each vector's own first, then the next best by their axes' margins."""
     best, loss = [], []
-    k = min(probes, 2 * (1 << max(0, units.shape[1] - 1).bit_length()))
-    for cut in range(CUTS):
+    k = min(AXES, probes, 2 * (1 << max(0, units.shape[1] - 1).bit_length()))
+    for cut in range(cuts):
         x = rotate(units, 1009 * table + cut)
         both = np.concatenate([x, -x], axis=1)
         top = np.argsort(-both, axis=1, kind="stable")[:, :k]
         value = np.take_along_axis(both, top, axis=1)
         best.append(top)
         loss.append((value[:, :1] - value) ** 2)
-    combos = list(product(range(k), repeat=CUTS))
+    combos = list(product(range(k), repeat=cuts))
     cost = np.stack([sum(loss[c][:, i] for c, i in enumerate(combo)) for combo in combos], axis=1)
     width = 2 * (1 << max(0, units.shape[1] - 1).bit_length())
     names = np.stack([sum(best[c][:, i].astype(np.int64) * width**c for c, i in enumerate(combo)) for combo in combos], axis=1)
@@ -78,6 +87,9 @@ def unit(rows: np.ndarray) -> np.ndarray:
 def near_pairs(classes: DataFrame, *, least: float = 0.93, tables: int = 8, probes: int = 4, chunk: int = 1024) -> DataFrame:
     """(u, v, cos) with u < v: classes (id, label, vec) of equal label with a cosine of ``least`` or more."""
     spark = classes.sparkSession
+    n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    cuts = cuts_for(n, dim)
+    tables, probes = tables << (cuts - 2), probes << (cuts - 2)
 
     def hashed(batches):
         for batch in batches:
@@ -86,7 +98,7 @@ def near_pairs(classes: DataFrame, *, least: float = 0.93, tables: int = 8, prob
                 at = np.flatnonzero(sizes == size)
                 units = unit(_matrix(batch.column(2).take(pa.array(at))))
                 for t in range(tables):
-                    found = buckets(units, t, probes)
+                    found = buckets(units, t, probes, cuts)
                     n = found.shape[1]
                     where = pa.array(np.repeat(at, n))
                     yield pa.RecordBatch.from_arrays([ids.take(where), labels.take(where), pa.array(np.full(len(at) * n, size, np.int32)), pa.array(np.full(len(at) * n, t, np.int32)), pa.array(found.ravel()), pa.array(np.tile(np.arange(n) == 0, len(at)))], names=["id", "label", "size", "t", "bucket", "own"])

@@ -152,20 +152,24 @@ def test_embeddings_repeats_and_empty(spark):
     assert embeddings.near_duplicates(t.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dim", [24, 64, 300])
-def test_recall_at_the_threshold(dim):
+@pytest.mark.parametrize(("dim", "cuts"), [(24, 2), (64, 2), (300, 2), (64, 3), (64, 4)])
+def test_recall_at_the_threshold(dim, cuts):
     rng = np.random.default_rng(dim)
     a = embeddings.unit(rng.normal(size=(400, dim)))
     side = rng.normal(size=a.shape)
     side = embeddings.unit(side - (side * a).sum(1, keepdims=True) * a)
     b = 0.93 * a + math.sqrt(1 - 0.93**2) * side
     hit = np.zeros(len(a), bool)
-    for t in range(8):
-        x, y = embeddings.buckets(a, t, 4), embeddings.buckets(b, t, 4)
+    for t in range(8 << (cuts - 2)):
+        x, y = (embeddings.buckets(v, t, 4 << (cuts - 2), cuts) for v in (a, b))
         hit |= (x == y[:, :1]).any(1) | (y == x[:, :1]).any(1)
     assert hit.mean() >= 0.98
 
 
+def test_rotations_grow_with_the_table():
+    assert [embeddings.cuts_for(n, 64) for n in (0, 10, 50_000, 10**7, 10**9)] == [2, 2, 2, 3, 4]
+
+
 def test_rotation_keeps_lengths():
     x = embeddings.rotate(np.eye(6), 3)
     assert x.shape == (6, 8) and np.allclose(x @ x.T, np.eye(6))
