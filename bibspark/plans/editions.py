@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import graph
 from ..functions import identity as idt
 from ..functions import text as tx
 from ..schema import MANUAL_COVER, UNDEFINED_LANGUAGE
@@ -43,26 +44,18 @@ def strong_pairs(records: DataFrame, *, id_col: str, scope: str, type_col: str =
     return strong.join(least, ["scope", "t", "v"]).select("id", "other").distinct()
 
 
-def resolve(pairs: DataFrame, *, most_rounds: int = 50) -> DataFrame:
+def resolve(pairs: DataFrame) -> DataFrame:
     """(id, book): the state that repeated runs settle on, every record with the least one it is joined to by any chain.
 
-    A record takes the least book of the records around it and then that book's own book, so a chain's length halves.  Each round is
-    checkpointed; the driver sees one number.
+    Large and small stars alternate until nothing changes, in a number of rounds that grows with the logarithm of the largest
+    component in any order of its records.  Each round is checkpointed; the driver sees two numbers.
     """
     spark: SparkSession = pairs.sparkSession
     _ensure_checkpoint_dir(spark)
-    both = pairs.unionAll(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct().checkpoint()
-    state = both.select("id").distinct().withColumn("book", F.col("id")).checkpoint()
-    for _ in range(most_rounds):
-        around = both.join(state.withColumnsRenamed({"id": "other", "book": "near"}), "other").groupBy("id").agg(F.min("near").alias("near"))
-        step = state.join(around, "id").select("id", F.least("book", "near").alias("book"))
-        jump = step.join(step.withColumnsRenamed({"id": "hop", "book": "far"}), F.col("book") == F.col("hop")).select("id", F.least("book", "far").alias("book"), F.col("book").alias("was"))
-        now = jump.select("id", "book").checkpoint()
-        changed = now.join(state.withColumnRenamed("book", "old"), "id").filter("book <> old").limit(1).count()
-        state = now
-        if not changed:
-            break
-    return state
+    pairs = pairs.select("id", "other").checkpoint()
+    roots = graph.components(pairs.select(F.col("id").alias("u"), F.col("other").alias("v")), lambda now: now.checkpoint())
+    every = pairs.select("id").unionAll(pairs.select("other")).distinct()
+    return every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("book"))
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:

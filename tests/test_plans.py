@@ -102,6 +102,16 @@ def test_resolution_settles_on_chains(spark):
     assert {got[100 + i] for i in range(20)} == {100}
 
 
+def test_resolution_settles_on_descending_chains(spark):
+    """1, n, n - 1, ..., 2: the least label is next to the greatest, so that it would walk one step a round."""
+    n = 300
+    chain = [1, *range(n, 1, -1)]
+    rows = [(r, 1, "google", f"g{j}") for i, r in enumerate(chain) for j in (i, i + 1)]
+    pairs = ed.strong_pairs(spark.createDataFrame(rows, "id long, lib long, type string, value string"), id_col="id", scope="lib")
+    got = {r.id: r.book for r in ed.resolve(pairs).collect()}
+    assert got == dict.fromkeys(range(1, n + 1), 1)
+
+
 def test_dimensions(spark):
     old = spark.createDataFrame([(4, "Ann", "ANN")], "id long, name string, name_fold string")
     names = spark.createDataFrame([("ann", "ANN", 1), ("Bob", "BOB", 3), ("BOB", "BOB", 2), ("Cy", "CY", 1)], "name string, name_fold string, arrival long")
