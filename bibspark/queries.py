@@ -612,12 +612,27 @@ p AS (SELECT DISTINCT x.id, y.id AS other FROM i x JOIN i y ON x.v = y.v),
 r AS (SELECT id, id AS book FROM (SELECT DISTINCT id FROM i) UNION SELECT p.other, r.book FROM r JOIN p ON p.id = r.id WHERE p.other > r.book)
 SELECT id, min(book) AS book FROM r GROUP BY id""")
 def resolve_identifiers(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"))
+    return _resolved_orders(table(spark, sf_dir, "orders").filter("o_orderkey < 2000"))
+
+
+def _resolved_orders(orders: DataFrame) -> DataFrame:
+    orders = orders.select(F.col("o_orderkey").alias("id"))
     two = F.array(F.struct(F.lit("amazon").alias("type"), F.concat(F.lit("a"), (F.col("id") % 997).cast("string")).alias("value")), F.struct(F.lit("google").alias("type"), F.concat(F.lit("b"), (F.col("id") % 991).cast("string")).alias("value")))
     rows = orders.select("id", F.lit(1).alias("library"), F.inline(two))
     return ed.resolve(ed.strong_pairs(rows, id_col="id", scope="library"))
 
 
+# All orders: the least book of each identifier's orders is handed to them until none is lower; one row an order is kept.
+@query("""
+WITH RECURSIVE i AS (SELECT o_orderkey AS id, 'a' || (o_orderkey % 997) AS v FROM orders UNION ALL SELECT o_orderkey, 'b' || (o_orderkey % 991) FROM orders),
+r(id, book) USING KEY (id) AS (SELECT DISTINCT id, id FROM i
+      UNION SELECT x.id, min(n.book) FROM (SELECT y.v, min(r.book) AS book FROM recurring.r JOIN i AS y ON y.id = r.id GROUP BY y.v) AS n
+            JOIN i AS x ON x.v = n.v JOIN recurring.r AS o ON o.id = x.id GROUP BY x.id, o.book HAVING min(n.book) < o.book)
+SELECT id, book FROM r""")
+def resolve_all_identifiers(spark, sf_dir):
+    return _resolved_orders(table(spark, sf_dir, "orders"))
+
+
 _ENRICH = """SELECT o_orderkey AS id, {title} AS title, CASE WHEN o_orderkey % 2 = 0 AND (o_orderkey % 3 <> 0 OR {keep}) THEN 'own' WHEN o_orderkey % 3 = 0 THEN 'found' END AS publisher,
 CASE WHEN o_orderkey % 3 = 0 THEN 2001 END AS year, (o_orderkey % 3 = 0)::INTEGER AS checked, CASE WHEN {changed} THEN sha256('h:enriched') ELSE 'h' END AS content_hash FROM orders"""
 

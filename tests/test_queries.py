@@ -40,6 +40,27 @@ def test_query(spark, db, name):
     assert cells(got.select(*names).collect()) == cells(want.fetchall())
 
 
+def test_resolution_of_all_orders(spark, tmp_path):
+    """Orders beyond key 2000 are resolved too: against union-find over the shared identifiers."""
+    keys = [*range(0, 6000, 7), *range(150_000, 150_400)]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k in keys:
+        for v in (("a", k % 997), ("b", k % 991)):
+            root[find(k)] = find(v)
+    least = {}
+    for k in keys:
+        least.setdefault(find(k), k)  # keys ascend
+    got = {r.id: r.book for r in queries.resolve_all_identifiers(spark, str(tmp_path)).collect()}
+    assert got == {k: least[find(k)] for k in keys} and len(set(got.values())) > 1
+
+
 def test_contract():
     import __spark_entry__ as entry
 
