@@ -1,18 +1,19 @@
 """Scoring texts with a Brown class-based bigram model.
 
 A token's probability is P(class | class before) * P(item | class) * P(word | item).  Items are what the exchange clustering
-moves between classes: every word with at least the share ``share`` of all training tokens, and seen ``min_count``
-times (so there are at most 1/share of them at any size), is an item of its own, and every other word, known or not, belongs to one of ``SUFFIXES``
-items by its last bytes.  Within such an item words have discounted relative frequencies, and the discount is left to
-words never seen.  Class transitions are smoothed towards class frequencies, so the model sums to one and never gives zero.
-
-Exchange: the training texts are written once as item numbers; each turn scans them, counts for each item the classes before and after it, and moves every other
-item to the class that gains most likelihood, the rest staying; the next turn moves the others.  Tasks add their counts
-up in dense arrays and send them packed; the driver holds one array of items by classes, bounded by ``share``.
-
-Scoring scans the texts in blocks of about ``block_tokens`` tokens.  Of a block's tokens the items' part is summed at once; its
-other distinct words are listed once, joined with the counted vocabulary by word, and summed by document when they
-come back, so no task ever holds the whole vocabulary.
+moves between classes: every word seen ``min_count`` times in training (so their number grows with the corpus) is an item of its
+own, and every other word, known or not, belongs to one of ``SUFFIXES`` items by its last bytes.  Within such an item words have
+discounted relative frequencies, and the discount is left to words never seen.  Class transitions are smoothed towards class
+frequencies, so the model sums to one and never gives zero.
+
+Texts are scanned once in blocks of about ``block_tokens`` tokens: a block's distinct words are listed once, joined with the counted
+vocabulary by word, and come back as counts and item numbers, so no task and not the driver ever holds the vocabulary.  What
+depends on the words alone is summed by document at once; the texts stay as item numbers for all turns and the score.
+
+Exchange: each turn scans these, counts for each item the classes before and after it, and sends the counts to the task that
+has the item, which moves it to the class that gains most likelihood.  The first turn moves all items, each later one every other
+item, in turn; turns end when two in a row gain less than ``tolerance`` nats a training token, and the best classes stay.  The
+driver holds the classes-by-classes counts and an item's class, a byte or two each, which is what tasks are sent.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from . import files
 SUFFIXES, DISCOUNT, PRIOR, FLOOR = 2048, 0.5, 8.0, 0.1
 #: The token that ends every text; it stands before its first token too.
 END = b""
-_CHUNK = 32
+#: Items whose counts one task adds up at a time.
+_BUCKET = 16384
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -45,21 +48,32 @@ def suffix(word: bytes) -> int:
 
 @dataclass
 class Vocabulary:
-    """What the driver knows: totals, the frequent words and the suffix items' sums.  Bounded by 1/share + SUFFIXES."""
+    """Totals, the suffix items' sums, and the words that are items as a table (word, c, item), by falling count."""
 
     total: int
     distinct: int
-    words: list[bytes]
-    counts: np.ndarray  # of the frequent words, then of the suffix items
+    size: int
+    table: DataFrame
+    rare: np.ndarray  # tokens of each suffix item
     types: np.ndarray  # distinct training words of each suffix item
 
     @property
     def unit(self) -> float:
         return float(self.total + self.distinct + 1)
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        """All words that are items, on the driver: to look at small models."""
+        return [bytes(r.word) for r in self.table.orderBy("item").select("word").collect()]
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """Of the words that are items, then of the suffix items."""
+        return np.concatenate([np.array([r.c for r in self.table.orderBy("item").select("c").collect()], np.int64), self.rare])
+
 
 class Items(dict):
-    """word -> item; others than frequent words by their suffix, kept until ``limit`` of them."""
+    """word -> item of a small model; other words by their suffix, kept until ``limit`` of them."""
 
     def __init__(self, words: list[bytes], limit: int = 250_000):
         super().__init__(zip(words, range(len(words)), strict=True))
@@ -73,8 +87,8 @@ class Items(dict):
         return item
 
 
-def vocabulary(training: DataFrame, *, share: float, min_count: int = 5, flush: int = 250_000) -> tuple[DataFrame, Vocabulary]:
-    """The counted vocabulary (word, c) as a written table, and its summary."""
+def vocabulary(training: DataFrame, *, share: float = 0.0, min_count: int = 5, flush: int = 250_000) -> tuple[DataFrame, Vocabulary]:
+    """The counted vocabulary (word, c, item) as a written table, item null for words of suffix items, and its summary."""
     spark = training.sparkSession
 
     def count(batches):
@@ -91,7 +105,17 @@ def vocabulary(training: DataFrame, *, share: float, min_count: int = 5, flush:
     words = files.written(spark, words, "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(share * total, min_count)
-    top = words.filter((F.col("c") >= least) | (F.length("word") == 0)).orderBy(F.desc("c"), "word").collect()
+    frequent = (F.col("c") >= least) | (F.length("word") == 0)
+    order = [F.desc("c"), F.asc("word")]
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = words.filter(frequent).repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id())
+    top = files.written(spark, top, "frequent")
+    part, size, bases = F.shiftright("m", 33), 0, []
+    for p, n in sorted(tuple(r) for r in top.groupBy(part).agg(F.count("*")).collect()):  # a row a partition
+        bases.append((p, size))
+        size += n
+    bases = F.broadcast(spark.createDataFrame(bases, "p long, base long"))
+    top = top.join(bases, part == F.col("p")).select("word", "c", (F.col("base") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("item"))
 
     def by_suffix(batches):
         n, t = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
@@ -101,12 +125,12 @@ def vocabulary(training: DataFrame, *, share: float, min_count: int = 5, flush:
             np.add.at(t, at, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUFFIXES)), pa.array(n), pa.array(t)], names=["s", "n", "t"])
 
-    rest = words.filter((F.col("c") < least) & (F.length("word") > 0)).mapInArrow(by_suffix, "s long, n long, t long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    rest = words.filter(~frequent).select("word", "c").mapInArrow(by_suffix, "s long, n long, t long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     n, t = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
     for r in rest:
         n[r.s], t[r.s] = r.n, r.t
-    found = [bytes(r.word) for r in top]
-    return words, Vocabulary(int(total), int(distinct), found, np.concatenate([np.array([r.c for r in top], np.int64), n]), t)
+    items = files.written(spark, top.unionByName(words.filter(~frequent).select("word", "c", F.lit(None).cast("long").alias("item"))), "items")
+    return items, Vocabulary(int(total), int(distinct), int(size), items.filter("item is not null"), n, t)
 
 
 def _numbers(table: dict, words: list[bytes]) -> np.ndarray:
@@ -117,72 +141,204 @@ def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
-def coded(training: DataFrame, vocab: Vocabulary, *, row_tokens: int = 1 << 20) -> DataFrame:
-    """(items): the training texts as item numbers, whole texts back to back in rows, written once for all turns."""
-    spark = training.sparkSession
-    shared = spark.sparkContext.broadcast(vocab.words)
-    kind = _kind(len(vocab.counts))
+class _Block(dict):
+    """word -> its place among the block's words."""
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        return at
+
+
+def _blob(x: np.ndarray, kind: str) -> bytes:
+    return zlib.compress(x.astype(kind).tobytes(), 1)
+
+
+def _unblob(data: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data.as_py()), kind)
+
+
+def coded(docs: DataFrame, vocab: Vocabulary, words: DataFrame | None = None, *, block_tokens: int = 2_000_000) -> DataFrame:
+    """Blocks of whole texts: by document what the words alone give, and all texts as item numbers back to back.
+
+    Rows without doc_id or held_out are training texts.
+    """
+    spark = docs.sparkSession
+    words = vocab.table if words is None else words
+    kinds = {"doc_id": ("long", None), "text": ("string", None), "held_out": ("boolean", False)}
+    docs = docs.select(*((F.col(c) if c in docs.columns else F.lit(none)).cast(kind).alias(c) for c, (kind, none) in kinds.items()))
+
+    def scan(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        waiting, n, table = [], 0, _Block()
+
+        def block():
+            code = _blob(np.concatenate([w[2] for w in waiting]), "<i4")
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([number]), "doc_id": pa.array([[w[0] for w in waiting]], pa.list_(pa.int64())), "held_out": pa.array([[w[1] for w in waiting]], pa.list_(pa.bool_())),
+                "n_tokens": pa.array([[len(w[2]) for w in waiting]], pa.list_(pa.int64())), "code": pa.array([code], pa.binary()), "words": pa.array([list(table)], pa.list_(pa.binary())),
+            })
 
-    def code(batches):
-        items, held, size = Items(shared.value), [], 0
         for batch in batches:
-            for t in batch.column(0):
-                held.append(_numbers(items, tokens(t.as_py())))
-                size += len(held[-1])
-                if size >= row_tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.concatenate(held).astype(kind).tobytes(), 1)], pa.binary())], names=["items"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.concatenate(held).astype(kind).tobytes(), 1)], pa.binary())], names=["items"])
+            for doc, text, out in zip(*(batch.column(i) for i in range(3)), strict=True):
+                waiting.append((doc.as_py(), out.as_py(), _numbers(table, tokens(text.as_py()))))
+                n += len(waiting[-1][2])
+                if n >= block_tokens:
+                    yield block()
+                    number, waiting, n, table = number + 1, [], 0, _Block()
+        if waiting:
+            yield block()
 
-    return files.written(spark, training.select("text").mapInArrow(code, "items binary"), "items")
+    blocks = files.written(spark, docs.mapInArrow(scan, "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, code binary, words array<binary>"), "blocks")
+    size, rare, types, unit = vocab.size, vocab.rare.astype(float), vocab.types.astype(float), vocab.unit
+    listed = blocks.select("block", F.posexplode("words").alias("at", "word")).join(words, "word", "left")
+    other = F.lit(size) + F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(SUFFIXES))
+    listed = listed.select("block", "at", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("item", other).cast("long").alias("item"))
 
+    def packed(batches):
+        now, held = None, []
+        for batch in batches:
+            block, pairs = batch.column(0).to_numpy(), np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                if now is not None and block[low] != now:
+                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([_blob(np.concatenate(held, 1), "<i8")], pa.binary())], names=["block", "found"])
+                    held = []
+                now = int(block[low])
+                held.append(pairs[:, low:high].copy())
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([_blob(np.concatenate(held, 1), "<i8")], pa.binary())], names=["block", "found"])
 
-def _kind(n_items: int) -> str:
-    return "<u2" if n_items <= 1 << 16 else "<u4"
+    # Sorted rather than collected: a task holds one block's words at a time.
+    found = listed.repartition("block").sortWithinPartitions("block", "at").mapInArrow(packed, "block long, found binary")
+    back = blocks.drop("words").join(found, "block").select("doc_id", "held_out", "n_tokens", "code", "found")
 
+    def number(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda k: batch.column(k)[row].values  # noqa: B023, E731
+                code = _unblob(batch.column("code")[row], "<i4")
+                c, item = _unblob(batch.column("found")[row], "<i8").reshape(2, -1)
+                own, of = item < size, np.maximum(item - size, 0)
+                # The share of a word in its item, and the item's tokens: its class has the rest.
+                mass = np.log10(np.where(own, c, rare[of]) + FLOOR)
+                unknown = np.where(rare[of] > 0, DISCOUNT * types[of] / np.maximum(rare[of], 1), 1.0)
+                within = np.where(own, 0.0, np.log10(np.where(own, 1.0, np.where(c > 0, (c - DISCOUNT) / np.maximum(rare[of], 1), unknown))))
+                sizes = get("n_tokens").to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                per = lambda x: np.add.reduceat(x[code], starts)  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({
+                    **{k: pa.array([get(k)], t) for k, t in (("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())))},
+                    "n_known": pa.array([per((c > 0).astype(np.int64))], pa.list_(pa.int64())), "base": pa.array([per(np.log10((c + 1) / unit))], pa.list_(pa.float64())),
+                    "within": pa.array([per(within + mass)], pa.list_(pa.float64())), "items": pa.array([_blob(item[code], "<u4")], pa.binary()),
+                })
 
-def contexts(texts: DataFrame, vocab: Vocabulary, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """(items, 2 * n_classes): how often each class stands before and after each item of coded() texts."""
-    spark = texts.sparkSession
-    n, end, kind = len(classes), vocab.words.index(END) if END in vocab.words else 0, _kind(len(classes))
-    shared = spark.sparkContext.broadcast(classes)
+    kinds = "doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, within array<double>, items binary"
+    return files.written(spark, back.mapInArrow(number, kinds), "coded")
+
+
+def _training(batches):
+    """(token before, token) item numbers of each block's training texts; the end of one text stands before the next."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            sizes = batch.column("n_tokens")[row].values.to_numpy()
+            held = batch.column("held_out")[row].values.to_numpy(zero_copy_only=False)
+            at = _unblob(batch.column("items")[row], "<u4").astype(np.int64)
+            at = at[np.repeat(~held, sizes)]
+            if len(at):
+                yield np.concatenate([at[-1:], at[:-1]]), at
+
+
+_TEXTS = ("held_out", "n_tokens", "items")
+
+
+def pair_counts(texts: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """(class before, class) counts of coded() training texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(_small(classes, n_classes))
 
     def count(batches):
-        of, out = shared.value, np.zeros((n, 2 * n_classes), np.int64)
-        for batch in batches:
-            for row in batch.column(0):
-                at = np.frombuffer(zlib.decompress(row.as_py()), kind).astype(np.int64)
-                last = np.concatenate([[end], at[:-1]])  # the end of one text stands before the next
-                out[:, :n_classes] += np.bincount(at * n_classes + of[last], minlength=n * n_classes).reshape(n, n_classes)
-                out[:, n_classes:] += np.bincount(last * n_classes + of[at], minlength=n * n_classes).reshape(n, n_classes)
-        for i in range(0, n, _CHUNK):
-            if out[i : i + _CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(out[i : i + _CHUNK].astype("<u4").tobytes(), 1)], pa.binary())], names=["i", "counts"])
+        of, out = shared.value, np.zeros(n_classes * n_classes, np.int64)
+        for last, at in _training(batches):
+            out += np.bincount(of[last].astype(np.int64) * n_classes + of[at], minlength=len(out))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "n"])
+
+    out = np.zeros(n_classes * n_classes, np.int64)
+    for r in texts.select(*_TEXTS).mapInArrow(count, "i long, n long").filter("n > 0").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r.i] = r.n
+    shared.unpersist()
+    return out.reshape(n_classes, n_classes)
+
+
+def _small(classes: np.ndarray, n_classes: int) -> np.ndarray:
+    return classes.astype("<u1" if n_classes <= 1 << 8 else "<u2")
+
+
+def _by_bucket(texts: DataFrame, classes: np.ndarray, n_classes: int, finish, schema: str) -> list:
+    """Rows of finish(bucket, counts): how often each class stands before and after each item; items go round the buckets."""
+    spark, n, width = texts.sparkSession, len(classes), 2 * n_classes
+    n_buckets = max(64, -(-n // _BUCKET))
+    rows = -(-n // n_buckets)
+    shared = spark.sparkContext.broadcast(_small(classes, n_classes))
+    kind = np.uint32 if n_buckets * rows * width < 1 << 32 else np.uint64
+
+    def count(batches):
+        of = shared.value
+        for last, at in _training(batches):
+            place = lambda x: (x % n_buckets * rows + x // n_buckets) * width
+            keys = np.sort(np.concatenate([place(at) + of[last], place(last) + n_classes + of[at]]).astype(kind))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            seen, keys = np.diff(np.append(first, len(keys))), keys[first].astype(np.int64)
+            cuts = np.searchsorted(keys, np.arange(n_buckets + 1) * rows * width)
+            some = [b for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
+            part = lambda x, b: x[cuts[b] : cuts[b + 1]]  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_blob(np.diff(part(keys, b), prepend=b * rows * width), "<u4") for b in some], pa.binary()), pa.array([_blob(part(seen, b), "<u4") for b in some], pa.binary())], names=["bucket", "keys", "seen"])
 
     def total(batches):
         now, held = None, None
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if now is not None and i != now:
-                    yield _packed(now, held)
-                if i != now:
-                    now, held = i, 0
-                held = held + np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+            for b, keys, seen in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if b.as_py() != now:
+                    if now is not None:
+                        yield finish(now, held.reshape(rows, width))
+                    now, held = b.as_py(), np.zeros(rows * width, np.int64)
+                held[np.cumsum(_unblob(keys, "<u4"), dtype=np.int64)] += _unblob(seen, "<u4")
         if now is not None:
-            yield _packed(now, held)
+            yield finish(now, held.reshape(rows, width))
 
-    parts = texts.mapInArrow(count, "i long, counts binary").repartition("i").sortWithinPartitions("i")
-    out = np.zeros((n, 2 * n_classes), np.int64)
-    for r in parts.mapInArrow(total, "i long, counts binary").collect():
-        rows = np.frombuffer(zlib.decompress(r.counts), "<i8").reshape(-1, 2 * n_classes)
-        out[r.i : r.i + len(rows)] = rows
+    parts = texts.select(*_TEXTS).mapInArrow(count, "bucket long, keys binary, seen binary").repartition("bucket").sortWithinPartitions("bucket")
+    out = parts.mapInArrow(total, schema).collect()
     shared.unpersist()
     return out
 
 
-def _packed(i: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(counts.astype("<i8").tobytes(), 1)], pa.binary())], names=["i", "counts"])
+def contexts(texts: DataFrame, vocab: Vocabulary, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """(items, 2 * n_classes): how often each class stands before and after each item, on the driver: to look at small models."""
+    n_buckets = max(64, -(-len(classes) // _BUCKET))
+    out = np.zeros((len(classes), 2 * n_classes), np.int64)
+    for r in _by_bucket(texts, classes, n_classes, lambda b, seen: pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_blob(seen, "<i8")], pa.binary())], names=["b", "seen"]), "b long, seen binary"):
+        own = out[r.b :: n_buckets]
+        own[:] = np.frombuffer(zlib.decompress(r.seen), "<i8").reshape(-1, 2 * n_classes)[: len(own)]
+    return out
+
+
+def exchanged(texts: DataFrame, classes: np.ndarray, n_classes: int, pairs: np.ndarray, turn: int) -> np.ndarray:
+    """Classes after one turn, each item moved by the task that has its counts; pairs are the class counts before it."""
+    n_buckets, gain, small = max(64, -(-len(classes) // _BUCKET)), gains(pairs), _small(classes, n_classes)
+    shared = texts.sparkSession.sparkContext.broadcast(small)
+
+    def move(b, seen):
+        own = shared.value[b::n_buckets].astype(np.int64)
+        moving = (np.arange(len(own)) * n_buckets + b) % 2 == turn % 2 if turn else np.ones(len(own), bool)
+        return pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_small(best(seen[: len(own)], own, n_classes, gain, moving), n_classes).tobytes()], pa.binary())], names=["b", "classes"])
+
+    out = classes.copy()
+    for r in _by_bucket(texts, classes, n_classes, move, "b long, classes binary"):
+        out[r.b :: n_buckets] = np.frombuffer(r.classes, small.dtype)
+    shared.unpersist()
+    return out
 
 
 def transitions(seen: np.ndarray, classes: np.ndarray, n_classes: int) -> np.ndarray:
@@ -192,24 +348,44 @@ def transitions(seen: np.ndarray, classes: np.ndarray, n_classes: int) -> np.nda
     return out
 
 
+def gains(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs + 0.5
+    return np.log(pairs * pairs.sum() / (pairs.sum(1)[:, None] * pairs.sum(0)[None, :]))
+
+
+def best(seen: np.ndarray, classes: np.ndarray, n_classes: int, gain: np.ndarray, moving: np.ndarray) -> np.ndarray:
+    score = seen[:, :n_classes] @ gain + seen[:, n_classes:] @ gain.T
+    top = score.argmax(1)
+    better = moving & (seen.sum(1) > 0) & (score[np.arange(len(classes)), top] > score[np.arange(len(classes)), classes])
+    return np.where(better, top, classes)
+
+
 def exchange(seen: np.ndarray, classes: np.ndarray, n_classes: int, moving: np.ndarray) -> np.ndarray:
     """Classes after each moving item went where the likelihood of class bigrams gains most."""
-    pairs = transitions(seen, classes, n_classes) + 0.5
-    before, after = pairs.sum(1), pairs.sum(0)
-    gain = np.log(pairs * pairs.sum() / (before[:, None] * after[None, :]))
-    score = seen[:, :n_classes] @ gain + seen[:, n_classes:] @ gain.T
-    best = score.argmax(1)
-    better = moving & (seen.sum(1) > 0) & (score[np.arange(len(classes)), best] > score[np.arange(len(classes)), classes])
-    return np.where(better, best, classes)
+    return best(seen, classes, n_classes, gains(transitions(seen, classes, n_classes)), moving)
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """Nats a token that the classes of neighbours tell of each other: what exchange raises."""
+    p = pairs / max(1, pairs.sum())
+    free = p.sum(1)[:, None] * p.sum(0)[None, :]
+    return float((p[p > 0] * np.log(p[p > 0] / free[p > 0])).sum())
 
 
 def first_classes(vocab: Vocabulary, n_classes: int) -> np.ndarray:
     """The most frequent words in classes of their own, others by their last two bytes."""
-    own = n_classes // 4
-    out = np.empty(len(vocab.counts), np.int64)
-    for i, w in enumerate(vocab.words):
-        out[i] = i if i < own else own + zlib.crc32(w[-2:]) % (n_classes - own)
-    out[len(vocab.words) :] = own + np.arange(SUFFIXES) % (n_classes - own)
+    own, rows = n_classes // 4, vocab.table
+    out = np.empty(vocab.size + SUFFIXES, np.int64)
+
+    def start(batches):
+        for batch in batches:
+            item = batch.column(1).to_numpy()
+            late = np.array([own + zlib.crc32(w[-2:]) % (n_classes - own) for w in batch.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([_blob(item, "<i8")], pa.binary()), pa.array([_blob(np.where(item < own, item, late), "<u2")], pa.binary())], names=["item", "class"])
+
+    for r in rows.select("word", "item").mapInArrow(start, "item binary, class binary").toLocalIterator():
+        out[np.frombuffer(zlib.decompress(r[0]), "<i8")] = np.frombuffer(zlib.decompress(r[1]), "<u2")
+    out[vocab.size :] = own + np.arange(SUFFIXES) % (n_classes - own)
     return out
 
 
@@ -218,40 +394,43 @@ class Model:
     vocab: Vocabulary
     classes: np.ndarray
     step: np.ndarray  # log10 P(class | class before)
-    item: np.ndarray  # log10 P(item | its class)
+    mass: np.ndarray  # log10 of the tokens of each class
+    gained: list[float]  # likelihood() before the first turn and after each
+
+    @cached_property
+    def item(self) -> np.ndarray:
+        """log10 P(item | its class), on the driver: to look at small models."""
+        return np.log10(self.vocab.counts + FLOOR) - self.mass[self.classes]
 
 
-def train(training: DataFrame, *, share: float = 1e-5, n_classes: int = 64, turns: int = 3) -> tuple[DataFrame, Model]:
+def train(training: DataFrame, *, share: float = 0.0, n_classes: int = 64, turns: int | None = 3, tolerance: float = 0.002) -> tuple[DataFrame, Model]:
+    """The counted vocabulary and the model of training texts; see fit()."""
     words, vocab = vocabulary(training, share=share)
-    classes, texts = first_classes(vocab, n_classes), coded(training, vocab)
-    for turn in range(turns):
-        moving = np.arange(len(classes)) % 2 == turn % 2 if turn else np.ones(len(classes), bool)
-        classes = exchange(contexts(texts, vocab, classes, n_classes), classes, n_classes, moving)
-    pairs = transitions(contexts(texts, vocab, classes, n_classes), classes, n_classes).astype(float)
+    return words, fit(coded(training, vocab, words), vocab, n_classes=n_classes, turns=turns, tolerance=tolerance)
+
+
+def fit(texts: DataFrame, vocab: Vocabulary, *, n_classes: int, turns: int | None, tolerance: float) -> Model:
+    """The model of coded() training texts; as many turns as it takes, unless ``turns`` names a number."""
+    classes = first_classes(vocab, n_classes)
+    pairs = pair_counts(texts, classes, n_classes)
+    gained, kept, idle = [likelihood(pairs)], (classes, pairs), 0
+    while idle < 2 if turns is None else len(gained) <= turns:
+        classes = exchanged(texts, classes, n_classes, pairs, len(gained) - 1)
+        pairs = pair_counts(texts, classes, n_classes)
+        now, top = likelihood(pairs), max(gained)
+        idle = 0 if now >= top + tolerance else idle + 1
+        if now > top:
+            kept = classes, pairs
+        gained.append(now)
+    classes, pairs = kept[0], kept[1].astype(float)
     prior = (pairs.sum(0) + 1) / (pairs.sum() + n_classes)
     step = np.log10((pairs + PRIOR * prior) / (pairs.sum(1, keepdims=True) + PRIOR))
-    mass = vocab.counts + FLOOR
-    item = np.log10(mass / np.bincount(classes, weights=mass, minlength=n_classes)[classes])
-    return words, Model(vocab, classes, step, item)
-
+    # A class holds its items' tokens, which are its column's, and FLOOR for each item.
+    mass = np.log10(np.maximum(pairs.sum(0) + FLOOR * np.bincount(classes, minlength=n_classes), FLOOR))
+    return Model(vocab, classes, step, mass, gained)
 
-class _Block(dict):
-    """word -> its item, or -1 - place among the block's other words."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.others: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self.others.append(word)
-        at = self[word] = -len(self.others)
-        return at
-
-
-_BLOCK = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>, n_others array<int>, others binary, words array<binary>"
-
-
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, share: float = 1e-5, n_classes: int = 64, turns: int = 3, block_tokens: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, share: float = 0.0, n_classes: int = 64, turns: int | None = 3, tolerance: float = 0.002, block_tokens: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; ``held_out`` marks rows not to learn from.
 
     Defined cases: a null text is empty and has the end alone; repeated ids are rows of their own; without training rows every word is
@@ -260,76 +439,22 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     spark = docs.sparkSession
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
-    words, model = train(docs.filter(~F.col("held_out")), share=share, n_classes=n_classes, turns=turns)
-    shared = spark.sparkContext.broadcast(model)
-
-    def scan(batches):
-        from pyspark import TaskContext
-
-        m, number = shared.value, TaskContext.get().partitionId() << 32
-        n_words = len(m.vocab.words)
-        base = np.log10((m.vocab.counts[:n_words] + 1) / m.vocab.unit)
-        waiting, n, table = [], 0, _Block(m.vocab.words)
-
-        def block():
-            sizes = np.array([len(w[2]) for w in waiting])
-            code = np.concatenate([w[2] for w in waiting]).astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            known = code >= 0
-            suffixes = np.array([suffix(w) for w in table.others], np.int64)
-            item = code.copy()
-            if len(suffixes):
-                item[~known] = n_words + suffixes[-1 - code[~known]]
-            of = m.classes[item]
-            before = np.concatenate([[0], of[:-1]])
-            before[starts] = m.classes[table[END]] if END in table else 0
-            logs = m.step[before, of] + m.item[item]
-            flat = np.zeros(len(code))
-            flat[known] = base[code[known]]
-            per = lambda x: np.add.reduceat(x, starts)
-            n_others = per((~known).astype(np.int64))
-            return pa.RecordBatch.from_pydict({
-                "block": pa.array([number]), "doc_id": pa.array([[w[0] for w in waiting]], pa.list_(pa.int64())), "held_out": pa.array([[w[1] for w in waiting]]),
-                "n_tokens": pa.array([sizes.tolist()], pa.list_(pa.int64())), "n_known": pa.array([per(known.astype(np.int64)).tolist()], pa.list_(pa.int64())), "base": pa.array([per(flat).tolist()]),
-                "score": pa.array([per(logs).tolist()]), "n_others": pa.array([n_others.tolist()], pa.list_(pa.int32())), "others": pa.array([zlib.compress((-1 - code[~known]).astype("<i4").tobytes(), 1)], pa.binary()),
-                "words": pa.array([table.others], pa.list_(pa.binary())),
-            })
-
-        for batch in batches:
-            for doc, text, out in zip(*(batch.column(i) for i in range(3)), strict=True):
-                waiting.append((doc.as_py(), out.as_py(), _numbers(table, tokens(text.as_py()))))
-                n += len(waiting[-1][2])
-                if n >= block_tokens:
-                    yield block()
-                    number, waiting, n, table = number + 1, [], 0, _Block(m.vocab.words)
-        if waiting:
-            yield block()
-
-    blocks = files.written(spark, docs.select("doc_id", "text", "held_out").mapInArrow(scan, _BLOCK), "blocks")
-    listed = blocks.select("block", F.posexplode("words").alias("at", "word")).join(words, "word")
-    counts = listed.groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("found"))
-    back = blocks.join(counts, "block", "left")
-    back = back.select("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_others", "others", "words", F.col("found.at").alias("at"), F.col("found.c").alias("c"))
+    words, vocab = vocabulary(docs.filter(~F.col("held_out")), share=share)
+    texts = coded(docs, vocab, words, block_tokens=block_tokens)
+    model = fit(texts, vocab, n_classes=n_classes, turns=turns, tolerance=tolerance)
+    total, step, mass = vocab.total, model.step, model.mass
+    shared = spark.sparkContext.broadcast(_small(model.classes, n_classes))
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     def finish(batches):
-        m = shared.value
-        rare, types = m.vocab.counts[len(m.vocab.words) :].astype(float), m.vocab.types.astype(float)
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda k: batch.column(k)[row].values  # noqa: B023, E731
-                others = np.frombuffer(zlib.decompress(batch.column("others")[row].as_py()), "<i4")
-                of = np.array([suffix(w) for w in get("words").to_pylist()], np.int64)
-                c = np.zeros(len(of))
-                if batch.column("at")[row].is_valid:
-                    c[get("at").to_numpy()] = get("c").to_numpy()
-                unknown = np.where(rare[of] > 0, DISCOUNT * types[of] / np.maximum(rare[of], 1), 1.0)
-                within = np.log10(np.where(c > 0, (c - DISCOUNT) / np.maximum(rare[of], 1), unknown))
-                sums = np.concatenate([[0], np.cumsum(get("n_others").to_numpy())])
-                per = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[others])])[sums])  # noqa: B023, E731
-                known = get("n_known").to_numpy() + per((c > 0).astype(float)).astype(np.int64)
-                base = get("base").to_numpy() + per(np.log10((c + 1) / m.vocab.unit))
-                total = get("score").to_numpy() + per(within)
-                yield pa.RecordBatch.from_arrays([get("doc_id"), get("held_out"), get("n_tokens"), pa.array(known), pa.array(np.full(len(known), m.vocab.total)), pa.array(base), pa.array(total)], names=list(names))
-
-    return back.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                of = shared.value[_unblob(batch.column("items")[row], "<u4")]
+                sizes = get("n_tokens").to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                before = np.concatenate([of[-1:], of[:-1]])  # every text ends with the end
+                logs = np.add.reduceat(step[before, of] - mass[of], starts) + get("within").to_numpy()
+                yield pa.RecordBatch.from_arrays([get("doc_id"), get("held_out"), get("n_tokens"), get("n_known"), pa.array(np.full(len(sizes), total)), get("base"), pa.array(logs)], names=list(names))
+
+    return texts.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -109,6 +109,27 @@ def test_brown_small_blocks_nulls_and_empty(spark):
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in unseen)
 
 
+def test_brown_clusters_every_repeated_word(spark):
+    """The least count doesn't rise with the corpus: words seen six times in 700,000 tokens are items of their own."""
+    texts = ["a " * 700_000, " ".join(f"six{i}" for i in range(300)) + " once"]
+    rows = spark.createDataFrame([(texts[0],)] + [(texts[1],)] * 6 + [("rare",)], "text string")
+    _, m = brown.train(rows, n_classes=8, turns=1)
+    assert set(m.vocab.words) == {b"a", b"", b"once"} | {b"six%d" % i for i in range(300)}
+
+
+def test_brown_exchange_on_executors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    words, vocab = brown.vocabulary(rows)
+    texts, classes = brown.coded(rows, vocab, words, block_tokens=5000), brown.first_classes(vocab, 16)
+    seen = brown.contexts(texts, vocab, classes, 16)
+    pairs = brown.pair_counts(texts, classes, 16)
+    assert (pairs == brown.transitions(seen, classes, 16)).all() and pairs.sum() == vocab.total
+    for turn in (0, 1, 2):
+        moving = np.arange(len(classes)) % 2 == turn % 2 if turn else np.ones(len(classes), bool)
+        got = brown.exchanged(texts, classes, 16, pairs, turn)
+        assert (got == brown.exchange(seen, classes, 16, moving)).all() and (got != classes).any()
+
+
 # ---- op7 -------------------------------------------------------------------------------------------------------------
 
 
