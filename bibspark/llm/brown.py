@@ -403,7 +403,7 @@ class Model:
         return np.log10(self.vocab.counts + FLOOR) - self.mass[self.classes]
 
 
-def train(training: DataFrame, *, share: float = 0.0, n_classes: int = 64, turns: int | None = 3, tolerance: float = 0.002) -> tuple[DataFrame, Model]:
+def train(training: DataFrame, *, share: float = 0.0, n_classes: int = 64, turns: int | None = None, tolerance: float = 0.002) -> tuple[DataFrame, Model]:
     """The counted vocabulary and the model of training texts; see fit()."""
     words, vocab = vocabulary(training, share=share)
     return words, fit(coded(training, vocab, words), vocab, n_classes=n_classes, turns=turns, tolerance=tolerance)
@@ -430,7 +430,7 @@ def fit(texts: DataFrame, vocab: Vocabulary, *, n_classes: int, turns: int | Non
     return Model(vocab, classes, step, mass, gained)
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, share: float = 0.0, n_classes: int = 64, turns: int | None = 3, tolerance: float = 0.002, block_tokens: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, share: float = 0.0, n_classes: int = 64, turns: int | None = None, tolerance: float = 0.002, block_tokens: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; ``held_out`` marks rows not to learn from.
 
     Defined cases: a null text is empty and has the end alone; repeated ids are rows of their own; without training rows every word is

@@ -130,6 +130,12 @@ def test_brown_exchange_on_executors(spark, sf_dir):
         assert (got == brown.exchange(seen, classes, 16, moving)).all() and (got != classes).any()
 
 
+def test_brown_turns_until_nothing_is_gained(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    _, m = brown.train(rows, tolerance=0.002)
+    assert len(m.gained) > 4 and max(m.gained) - max(m.gained[:-2]) < 2 * 0.002 and max(m.gained) > m.gained[3] + 0.02
+
+
 # ---- op7 -------------------------------------------------------------------------------------------------------------
 
 
