@@ -12,10 +12,13 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
+#: Folders of scratch tables, by the innermost settled() that made them.
+_MADE: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's URI in the shared folder."""
-    return f"{shared_dir(spark)}/bibspark-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder's URI in the shared folder; removed by settled(), or else when the driver's Python ends."""
+    top = f"{shared_dir(spark)}/bibspark-{_RUN}"
+    if top not in _TOPS:
+        _TOPS.add(top)
+        atexit.register(_remove_quietly, spark, top)
+    uri = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE[-1].append(uri)
+    return uri
+
+
+_TOPS: set[str] = set()
+
+
+def _remove_quietly(spark: SparkSession, uri: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        remove(spark, uri)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -43,12 +60,54 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s table, written; what it left in the scratch folder goes."""
+    _MADE.append([])
+    try:
+        out = written(spark, make(), name)
+    finally:
+        made = _MADE.pop()
+    for uri in made[:-1]:
+        remove(spark, uri)
+    _MADE[-1] += made[-1:]
+    return out
+
+
+def rounds(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """written() for the rounds of an iteration: of earlier rounds only the last one stays, as the next is computed from it."""
+    last: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        for uri in last:
+            remove(spark, uri)
+        last[:] = [path]
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     """Delete a folder by the file system that Spark uses for it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def inner(*tables: DataFrame) -> str:
+    """A prefix for columns of one's own: underscores, more of them than any column of these tables begins with."""
+    lead = max((len(c) - len(c.lstrip("_")) for t in tables for c in t.columns), default=0)
+    return "_" * (max(lead, 1) + 1)
+
+
+def free(table: DataFrame, name: str) -> str:
+    """``name`` for a new column, with underscores at its end until the table has none of that name."""
+    have = {c.lower() for c in table.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def open_fs(uri: str):
     """(file system, path in it) for executors' Python: local files, HDFS or an object store."""
     from pyarrow import fs

@@ -10,4 +10,4 @@ from . import files
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, root) for every vertex that an edge (u, v) of longs touches; root is its component's least vertex."""
-    return graph.components(edges, lambda now: files.written(spark, now, "edges"))
+    return graph.components(edges, files.rounds(spark, "edges"))

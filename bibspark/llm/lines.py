@@ -113,29 +113,30 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     the whole table all but the first, by (id, place), are removed: the lines that such windows cover, merged, leave their
     document, and blank lines stay.  Documents with fewer than three lines have no window.
 
-    Windows are counted with partial aggregation before they move; those found twice come back to the windows by a join whose
-    large partitions Spark can split.  Defined cases: null texts stay null; a null id sorts first; rows with equal id and
-    text count as one document and get the same result; an empty table gives no rows; other columns are kept as they are.
+    One plan at all sizes: windows are counted with partial aggregation before they move; those found twice come back to the
+    windows by a join whose large partitions Spark can split, and the covered places to the texts, which move once, by
+    (id, text).
+
+    Defined cases: null texts stay null and have no line; a null id sorts first; very long texts are read whole; of equal windows
+    at the same id (ties) that of the smaller text hash is first; rows with equal id and text count as one document and get the
+    same result; an empty table gives no rows.  Other columns stay as they are, and a result column whose name docs has
+    gets underscores at its end (files.free).
     """
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, files.inner(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = {"__id": F.col(id_col), "__d": F.xxhash64(text)}
     numbered = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.btrim(x, F.lit(" \t\x0b\x0c\r")).alias("s"), i.alias("i"))), lambda x: x.s != "")
-    lined = docs.select(*(v.alias(k) for k, v in key.items()), numbered.alias("l"))
-    windows = lined.filter("size(l) >= 3").select("__id", "__d", F.expr("posexplode(transform(sequence(0, size(l) - 3), i -> struct(xxhash64(l[i].s, l[i + 1].s, l[i + 2].s) as h, hash(l[i].s, l[i + 1].s, l[i + 2].s) as g)))").alias("p", "w"))
-    windows = windows.select("__id", "__d", "p", "w.h", "w.g")
-    firsts = windows.groupBy("h", "g").agg(F.min(F.struct("__id", "__d", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "first")
-    later = windows.join(small_or_shuffled(files.written(spark, firsts, "windows")), ["h", "g"]).filter(~F.struct("__id", "__d", "p").eqNullSafe(F.col("first")))
-    gone = later.groupBy("__id", "__d").agg(F.collect_set("p").alias("__p"))
-    gone = files.written(spark, gone.select(F.col("__id").alias("__gid"), F.col("__d").alias("__gd"), "__p"), "covered")
-    out = docs.withColumns(key).join(small_or_shuffled(gone, F.size("__p")), F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__d") == F.col("__gd")), "left")
-    out = out.withColumn("__all", F.split(text, "\n")).withColumn("__l", numbered.getField("i"))
-    out = out.withColumn("__c", F.expr("array_distinct(flatten(transform(__p, x -> array(x, x + 1, x + 2))))"))
-    kept = "array_except(sequence(0, size(__all) - 1), transform(__c, x -> __l[x]))"
-    out = out.withColumns({
-        "dedup_lines": F.size("__l").cast("long"),
-        "dedup_removed": F.coalesce(F.size("__c"), F.lit(0)).cast("long"),
-        "__new": F.when(F.col("__c").isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(transform({kept}, i -> __all[i]), '\\n')")),
-    })
-    names = {text_col: F.col("__new").alias(text_col)}
-    return out.select(*(names.get(c, F.col(f"`{c}`")) for c in docs.columns), *(c for c in ("dedup_lines", "dedup_removed") if c not in docs.columns))
+    lined = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("d"), numbered.alias("l"))
+    windows = lined.filter("size(l) >= 3").select("id", "d", F.expr("posexplode(transform(sequence(0, size(l) - 3), i -> struct(xxhash64(l[i].s, l[i + 1].s, l[i + 2].s) as h, hash(l[i].s, l[i + 1].s, l[i + 2].s) as g)))").alias("p", "w"))
+    windows = windows.select("id", "d", "p", "w.h", "w.g")
+    firsts = windows.groupBy("h", "g").agg(F.min(F.struct("id", "d", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "first")
+    later = windows.join(files.written(spark, firsts, "windows"), ["h", "g"]).filter(~F.struct("id", "d", "p").eqNullSafe(F.col("first")))
+    gone = later.groupBy("id", "d").agg(F.collect_set("p").alias("p"))
+    gone = files.written(spark, gone.select(F.col("id").alias(f"{own}id"), F.col("d").alias(f"{own}d"), F.col("p").alias(f"{own}p")), "covered")
+    same = F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}digest") == F.col(f"{own}d"))
+    out = docs.withColumn(f"{own}digest", F.xxhash64(text)).join(gone.hint("shuffle_hash"), same, "left")
+    out = out.withColumn(f"{own}all", F.split(text, "\n")).withColumn(f"{own}l", numbered.getField("i"))
+    out = out.withColumn(f"{own}c", F.expr(f"array_distinct(flatten(transform({own}p, x -> array(x, x + 1, x + 2))))"))
+    kept = f"array_except(sequence(0, size({own}all) - 1), transform({own}c, x -> {own}l[x]))"
+    new = F.when(F.col(f"{own}c").isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(transform({kept}, i -> {own}all[i]), '\\n')"))
+    counts = {"dedup_lines": F.size(f"{own}l").cast("long"), "dedup_removed": F.coalesce(F.size(f"{own}c"), F.lit(0)).cast("long")}
+    return out.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *(v.alias(files.free(docs, c)) for c, v in counts.items()))
