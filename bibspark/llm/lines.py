@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from . import files
 
 SPACE = "[ \\t-\\r]+"
-#: Tables of this many narrow rows, or array elements, are broadcast at most; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 200_000
-
-
 def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
@@ -24,12 +20,6 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
 
 
-def small_or_shuffled(table: DataFrame, elements: Column | None = None) -> DataFrame:
-    """A written table, to be broadcast if its rows, and the elements of its arrays, are counted and few, else joined by shuffling."""
-    size = table.agg(F.count("*") + (F.lit(0) if elements is None else F.coalesce(F.sum(elements), F.lit(0)))).first()[0]
-    return F.broadcast(table) if size <= BROADCAST_ROWS else table
-
-
 def repeat_words(hashes: str, bits: str) -> Column:
     """Words that stand in 3-word windows found twice or more, from the window hashes in their order.
 
@@ -47,63 +37,78 @@ def repeat_words(hashes: str, bits: str) -> Column:
     return F.expr(f"transform(array({packed}), p -> transform(array({places}), q -> {total})[0])[0]")
 
 
-def base_features(docs: DataFrame, text: str) -> DataFrame:
-    """docs with the columns __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words."""
-    out = docs.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    out = out.withColumn("__w", split_words(F.col("__t")))
-    out = out.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
+def base_features(docs: DataFrame, text: str, own: str) -> DataFrame:
+    """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, each behind the prefix ``own``."""
+    c = lambda name: F.col(own + name)
+    out = docs.withColumn(f"{own}t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    out = out.withColumn(f"{own}w", split_words(c("t")))
+    out = out.withColumn(f"{own}l", F.filter(F.split(c("t"), "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
+    w, h = f"{own}w", f"{own}h"
     out = out.withColumns({
-        "__n_words": F.size("__w").cast("long"),
-        "__word_chars": F.length(F.array_join("__w", "")).cast("long"),
-        "__n_symbols": F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long"),
-        "__n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "__h": F.expr("if(size(__w) >= 3, transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])), cast(array() as array<bigint>))"),
+        f"{own}n_words": F.size(c("w")).cast("long"),
+        f"{own}word_chars": F.length(F.array_join(c("w"), "")).cast("long"),
+        f"{own}n_symbols": F.regexp_count(c("t"), F.lit("[#*$%&|<>]")).cast("long"),
+        f"{own}n_dup_lines": (F.size(c("l")) - F.size(F.array_distinct(c("l")))).cast("long"),
+        h: F.expr(f"if(size({w}) >= 3, transform(sequence(0, size({w}) - 3), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2])), cast(array() as array<bigint>))"),
     })
-    out = out.withColumns({"__some": F.size(F.array_distinct("__h")) < F.size("__h"), "__k": F.length(F.bin(F.size("__h")))})
-    out = out.withColumn("__n_repeat_words", F.when(F.col("__some"), repeat_words("__h", "__k")).otherwise(F.lit(0)).cast("long"))
+    out = out.withColumns({f"{own}some": F.size(F.array_distinct(c("h"))) < F.size(c("h")), f"{own}k": F.length(F.bin(F.size(c("h"))))})
+    out = out.withColumn(f"{own}n_repeat_words", F.when(c("some"), repeat_words(h, f"{own}k")).otherwise(F.lit(0)).cast("long"))
     # A column that isn't deterministic keeps Catalyst from pushing a later filter below, which would copy the
     # definitions of words and windows into lambdas and evaluate them for every element.
-    return out.withColumn("__fence", F.monotonically_increasing_id()).drop("__t", "__w", "__l", "__h", "__some", "__k")
+    return out.withColumn(f"{own}fence", F.monotonically_increasing_id()).drop(*(f"{own}{x}" for x in ("t", "w", "l", "h", "some", "k")))
+
+
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_removed", "base_failed", "kept", "text")
 
 
-def quality_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_share: float = 0.2, min_left: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 5, max_share: float = 0.02, max_docs: int = 100, min_left: float = 0.5) -> DataFrame:
     """docs and the columns ``rule_*``: base features, base_failed, words_removed, kept, and text (without removed lines).
 
-    A line is removed from a host's documents if it stands in more than ``min_docs`` of them and in more than the share
-    ``max_share`` of them.  Lines are compared in normalised form by hash; documents of a host with equal texts count once, so
-    that a group of copies makes nothing common.  A document is rejected if the base rules fail, or if it keeps
-    less than ``min_left`` of its words.
+    A line is removed from a host's documents if it stands in more of them than the host's limit: the share ``max_share`` of
+    them, but ``min_docs`` at least and ``max_docs`` at most, so that the rule works in small hosts and goes on working in large
+    ones.  Lines are compared in normalised form by hash.  Distinct documents are those of different texts: a group of
+    exact copies is one document, else it would make all of its own lines common and be rejected as a whole.  A document is
+    rejected if the base rules fail, or if it keeps less than ``min_left`` of its words.
 
-    Lines are counted by (host, line) with partial counts, so a hot host or line is spread; only lines above the limits
-    come back, broadcast if they are few.  Defined cases: a null text has no words and fails; a null host is a host of its own;
-    repeated rows get the same result each; an empty table gives no rows; other columns are kept as they are.
+    One plan at all sizes: distinct (host, text, line, place) rows are written once, counted by (host, line) with partial
+    counts, and joined with the lines above their limit; the places to remove come back to their documents, which move at
+    most once, by (host, text).  All joins leave large partitions to be split.
+
+    Defined cases: a null or empty text has no words and fails; a null host is a host of its own; very long texts are read
+    whole, and their lines are removed by place, in linear time; a line exactly at its limit stays; repeated rows get the same
+    result each; an empty table gives no rows.  Columns of docs stay as they are, and a result column whose name docs has
+    gets underscores at its end (files.free).
     """
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, files.inner(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = {"__host": F.xxhash64(F.col(host_col).isNull(), F.col(host_col).cast("string")), "__d": F.xxhash64(text)}
-    found = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    lines = docs.select(F.explode(F.transform(found, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(split_words(x)).alias("n")))).alias("l"), *(v.alias(k) for k, v in keys.items()))
-    lines = lines.groupBy("__host", "__d", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"))
-    texts = docs.select(*(v.alias(k) for k, v in keys.items())).groupBy("__host", "__d").agg(F.count("*").alias("copies"))
-    texts = files.written(spark, texts, "texts")
-    hosts = texts.groupBy("__host").agg(F.count("*").alias("docs"))
-    limits = hosts.select("__host", F.greatest(F.lit(float(min_docs)), F.col("docs") * max_share).alias("most"))
-    # One row a line, host and distinct text: written once, read by the count and by the removal.
-    lines = files.written(spark, lines, "lines")
-    common = lines.groupBy("__host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
-    common = files.written(spark, common.join(limits, "__host").filter("docs > most").select("__host", "h"), "common_lines")
-    hit = lines.join(small_or_shuffled(common), ["__host", "h"])
-    hit = hit.groupBy("__host", "__d").agg(F.sum("n").alias("n"), F.collect_set("h").alias("__gone"))
-    hit = hit.join(texts, ["__host", "__d"]).select("__host", "__d", "__gone", F.expr("n div copies").alias("rule_words_removed"))
-    out = base_features(docs.withColumns(keys), text_col).join(hit, ["__host", "__d"], "left")
-    out = out.withColumns({f"rule_{c}": F.col(f"__{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"rule_words_removed": F.coalesce("rule_words_removed", F.lit(0))})
-    out = out.withColumn("rule_base_failed", (F.col("rule_n_words") < 50) | (100 * F.col("rule_n_repeat_words") > 50 * F.col("rule_n_words")))
-    left = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("__gone", F.xxhash64(normalised(x))), F.lit(False)))
-    out = out.withColumns({
-        "rule_kept": (F.col("__fence") >= 0) & ~F.col("rule_base_failed") & (F.col("rule_n_words") - F.col("rule_words_removed") >= min_left * F.col("rule_n_words")),
-        "rule_text": F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(left, "\n")),
-    })
-    return out.select(*(f"`{c}`" for c in docs.columns), *(c for c in out.columns if c.startswith("rule_") and c not in docs.columns))
+    host, d = f"{own}host", f"{own}d"
+    keys = {host: F.xxhash64(F.col(host_col).isNull(), F.col(host_col).cast("string")), d: F.xxhash64(text)}
+    norms = F.transform(F.split(text, "\n"), normalised)
+    found = F.filter(F.transform(norms, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("n"))), lambda x: x["n"] > 0)
+    # In order of (hash, place), the first place of each line of a text is the one that counts for the limit.
+    marked = F.transform(F.array(F.array_sort(found)), lambda s: F.transform(s, lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["n"].alias("n"), ((i == 0) | (F.get(s, i - 1)["h"] != x["h"])).alias("first"))))[0]
+    # Place -1 stands for the text itself.
+    itself = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(False).alias("first")))
+    lines = docs.select(*(v.alias(k) for k, v in keys.items()), F.inline(F.concat(itself, marked)))
+    lines = files.written(spark, lines.distinct(), "lines")
+    share = F.count("*") * float(max_share)
+    limits = lines.filter("at < 0").groupBy(host).agg(F.greatest(F.lit(float(min_docs)), F.least(F.lit(float(max_docs)), share)).alias("most"))
+    counts = lines.filter("first").groupBy(host, "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
+    common = counts.join(limits, host).filter("docs > most").select(host, "h")
+    hit = lines.filter("at >= 0").join(files.written(spark, common, "common_lines"), [host, "h"])
+    hit = hit.groupBy(host, d).agg(F.sum("n").alias(f"{own}removed"), F.collect_list("at").alias(f"{own}gone"))
+    out = base_features(docs.withColumns(keys), text_col, own).join(hit.hint("shuffle_hash"), [host, d], "left")
+    removed, words = F.coalesce(F.col(f"{own}removed"), F.lit(0)), F.col(f"{own}n_words")
+    failed = (words < 50) | (100 * F.col(f"{own}n_repeat_words") > 50 * words)
+    every = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(f"{own}gone"))
+    values = {c: F.col(f"{own}{c}") for c in RULES[:5]} | {
+        "words_removed": removed,
+        "base_failed": failed,
+        "kept": (F.col(f"{own}fence") >= 0) & ~failed & (words - removed >= min_left * words),
+        "text": F.when(F.col(f"{own}gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(F.array(every), lambda s: F.transform(left, lambda i: F.get(s, i)))[0], "\n")),
+    }
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(values[c].alias(files.free(docs, f"rule_{c}")) for c in RULES))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

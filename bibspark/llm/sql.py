@@ -12,7 +12,7 @@ lines AS (SELECT DISTINCT coalesce(source, chr(0)) AS host, t, lower(trim(regexp
           FROM (SELECT source, t, unnest(l) AS u FROM w)),
 hosts AS (SELECT coalesce(source, chr(0)) AS host, count(DISTINCT t) AS n FROM w GROUP BY 1),
 common AS (SELECT host, line FROM (SELECT host, line, count(*) AS docs FROM lines GROUP BY ALL) JOIN hosts USING (host)
-           WHERE docs > greatest(10, 0.2::DOUBLE * n)),
+           WHERE docs > greatest(5::DOUBLE, least(100::DOUBLE, 0.02::DOUBLE * n))),
 gone AS (SELECT doc_id, sum(len(regexp_extract_all(u, '[^\x20\x09-\x0D]+'))) AS n
          FROM (SELECT doc_id, coalesce(source, chr(0)) AS host, unnest(l) AS u FROM w) AS x
          JOIN common AS c ON c.host = x.host AND c.line = lower(trim(regexp_replace(x.u, '[\x20\x09-\x0D]+', ' ', 'g')))
