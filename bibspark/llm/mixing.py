@@ -3,52 +3,39 @@
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and share ``growth`` times all words; a target
 stops at ``most`` times its source's words and the excess is shared out again by weight until none is above.
 
-Copies: a source with target/size = r gives every document floor(r) whole copies for certain and one more with the
-inclusion probability p = r - floor(r).  Documents are ranked by Q = odds(U) / odds(p), U a hash of the document, and taken
-in this order while their words fit what the target leaves (a sample of fixed size in words).  Further
-rounds offer the rest to the documents that still fit, in the same order, until none does.
-
-A source's order is cut by a histogram of ``BINS`` bins over Q / (1 + Q), summed with partial aggregation; only the
-documents of the one bin in which the target is met are sorted, so that a source with a third of all rows lands in no
-single task.  U depends on the document alone: reruns agree.
+Inclusion: a document of a source is expected e = min(most, level * 2 ** (tilt * class)) times, class being the floor of its size's
+binary logarithm: longer documents, which fill a sequence with one text, are likelier.  A source's level is the one at which its
+documents' expected words sum to its target; a source has at most 64 classes, so it is found from as many sums.
+
+Copies: every document gets floor(e) whole copies for certain, and one more with the inclusion probability p = e - floor(e).  These
+documents are ranked by Q = odds(U) / odds(p), U a hash of the document, and taken in this order while their words fit what the
+certain copies leave of the target: a sample of fixed size in words with unequal probabilities.  The first that doesn't fit
+ends the main part; of the ``reach`` that follow in order, at least, those that still fit are taken as well.
+
+A source's order is cut by a histogram of ``BINS`` bins over Q / (1 + Q), summed with partial aggregation; only the documents
+from the bin of the cut to the end of the reach are sorted, so that a source with a third of all rows lands in no single task.  U
+depends on the document alone: reruns agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ranks import ranked
 from . import files
-from .lines import BROADCAST_ROWS
 
 BINS = 1 << 16
 
 
-def ranked(values: DataFrame, column: str) -> DataFrame:
-    """values with ``place``: its distinct ``column``'s place from 0 in ascending order, null last; the driver sees one row a partition."""
-    spark = values.sparkSession
-    order = F.col(column).asc_nulls_last()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = values.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
-    parted = files.written(spark, parted, "ranked")
-    part = F.shiftright("__m", 33)
-    ends = sorted(tuple(r) for r in parted.groupBy(part.alias("p")).agg(F.count("*")).collect())
-    bases, at = [], 0
-    for p, count in ends:
-        bases.append((p, at))
-        at += count
-    offsets = spark.createDataFrame(bases, "p long, base long")
-    low = F.col("__m").bitwiseAND((1 << 33) - 1)
-    return parted.join(F.broadcast(offsets), part == F.col("p")).withColumn("place", F.col("base") + low).drop("__m", "p", "base")
-
-
 def targets(sources: DataFrame, *, weights: Sequence[float] = (5, 2, 1), growth: float = 1.5, most: float = 2.0) -> DataFrame:
     """(src, source, source_size, target) of (source, source_size); src is the source's place."""
     spark = sources.sparkSession
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    table = ranked(sources, "source").withColumns({"w": weight, "cap": F.col("source_size") * float(most)})
+    table = ranked(sources, "source", lambda df: files.written(spark, df, "ranked")).withColumns({"w": weight, "cap": F.col("source_size") * float(most)})
     table = files.written(spark, table, "sources")
     total = (table.agg(F.sum("source_size")).first()[0] or 0) * float(growth)
     level, capped = 0.0, None
@@ -61,63 +48,85 @@ def targets(sources: DataFrame, *, weights: Sequence[float] = (5, 2, 1), growth:
     return table.select(F.col("place").alias("src"), "source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
-def allocate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), growth: float = 1.5, most: float = 2.0, seed: int = 17, rounds: int = 4) -> DataFrame:
+def levels(classes: DataFrame, table: DataFrame, *, most: float, tilt: float) -> DataFrame:
+    """table and ``level`` and ``room``: words that certain copies leave; classes are the sums (source, class, words) of sources."""
+    weight = f"pow(2D, {float(tilt)}D * x.class)"
+    # The longest classes reach ``most`` first, so i of them at the front are capped; the first i that holds is right.
+    whole = f"aggregate(slice(c, 1, i), 0D, (a, x) -> a + {float(most)}D * x.words)"
+    free = f"aggregate(slice(c, i + 1, size(c) - i), 0D, (a, x) -> a + {weight} * x.words)"
+    tried = f"transform(sequence(0, size(c)), i -> named_struct('i', i, 'level', if(i = size(c), cast('infinity' as double), (target - {whole}) / {free})))"
+    fits = f"y -> y.i = size(c) or y.level * pow(2D, {float(tilt)}D * c[y.i].class) <= {float(most)}D"
+    sums = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "words")), asc=False).alias("c"))
+    sums = sums.withColumnRenamed("source", "of")
+    out = table.join(sums, F.col("source").eqNullSafe(F.col("of"))).withColumn("c", F.expr("filter(c, x -> x.words > 0)"))
+    out = out.withColumn("level", F.expr(f"if(size(c) = 0 or target <= 0, 0D, filter({tried}, {fits})[0].level)"))
+    sure = f"aggregate(c, 0D, (a, x) -> a + x.words * floor(least({float(most)}D, level * {weight})))"
+    return out.withColumn("room", F.expr(f"target - {sure}")).drop("c", "of")
+
+
+def _filled(reach: pd.DataFrame) -> pd.DataFrame:
+    """Of one source's documents around the cut, those taken in their order while they fit."""
+    reach = reach.assign(null=reach["doc_id"].notna()).sort_values(["v", "null", "doc_id", "digest"], kind="stable")
+    left, taken = float(reach["left"].iloc[0]) if len(reach) else 0.0, []
+    for words in reach["words"]:
+        taken.append(words <= left)
+        left -= words if taken[-1] else 0
+    return reach[["doc_id", "source", "digest", "rows", "size", "source_size", "target", "sure"]].assign(extra=[int(t) for t in taken])
+
+
+def allocate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), growth: float = 1.5, most: float = 2.0, tilt: float = 0.25, reach: int = 2048, seed: int = 17) -> DataFrame:
     """(doc_id, source, digest, rows, size, source_size, target, copies): a row for each different document.
 
-    Defined cases: a null text has size 0; the null source is a source; rows with equal id, source and text (``rows`` of them) are taken
-    or left together; documents of size 0 take no words (their certain copies count); an empty table gives no rows.
+    Defined cases: a null text is empty and has size 0; the null source is a source; very long texts are documents like others, and are
+    passed over where they don't fit; ties in the order are broken by id (null first) and text hash; rows with equal id, source and
+    text (``rows`` of them) are taken or left together; documents of size 0 take no words (their certain copies count); an
+    empty table gives no rows; other columns are never read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    units = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("digest"), F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long").alias("size"))
-    units = files.written(spark, units.groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("rows")), "units")
-    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
-    table = files.written(spark, targets(sizes, weights=weights, growth=growth, most=most), "targets")
-    units = units.join(table.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    units = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("digest"), F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long").alias("size"))
+    units = units.groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("rows"))
+    # Exact for any size below 2 ** 53, unlike a rounded logarithm.
+    units = files.written(spark, units.withColumns({"words": F.col("size") * F.col("rows"), "class": F.greatest(F.length(F.bin("size")) - 1, F.lit(0))}), "units")
+    classes = files.written(spark, units.groupBy("source", "class").agg(F.sum("words").alias("words")), "classes")
+    table = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, growth=growth, most=most)
+    table = files.written(spark, levels(classes, table, most=most, tilt=tilt), "targets")
+
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "digest", "source"), 11) + 0.5) / float(1 << 53)
-    units = units.withColumns({"sure": F.floor(ratio).cast("long"), "p": ratio - F.floor(ratio), "words": F.col("size") * F.col("rows")})
-    # Null where p is 0: nothing more is taken there.
-    units = units.withColumn("q", F.when(F.col("p") > 0, (u / (1 - u)) * (1 - F.col("p")) / F.col("p")))
-    units = units.withColumns({"v": F.col("q") / (1 + F.col("q")), "extra": F.lit(0).cast("long")})
-    units = units.withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int"))
-    units = files.written(spark, units, "ranks")
-    sure = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    room = table.select("src", (F.col("target") - sure * F.col("source_size")).alias("room"))
-    taken = 0
-    for turn in range(rounds):
-        used = units.filter("extra > 0").groupBy("src").agg(F.sum("words").alias("used"), F.count("*").alias("n"))
-        gaps = room.join(used, "src", "left").select("src", (F.col("room") - F.coalesce("used", F.lit(0))).alias("gap"), F.coalesce("n", F.lit(0)).alias("n"))
-        gaps = files.written(spark, gaps, "gaps")
-        before, (taken, sources) = taken, gaps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        if turn and taken == before:
-            break
-        # One row a source: broadcast if they are few, so that a hot source's documents stay where they are.
-        near = F.broadcast if sources <= BROADCAST_ROWS else (lambda table: table)
-        units = files.written(spark, _round(units, gaps.select("src", "gap"), near), "ranks")
-    return units.select("doc_id", "source", "digest", "rows", "size", "source_size", "target", (F.col("sure") + F.col("extra")).alias("copies"))
-
-
-def _round(units: DataFrame, gaps: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """units after each source's gap is offered to its documents that fit it, in their order; near() joins a row a source."""
-    fits = (F.col("extra") == 0) & F.col("bin").isNotNull() & (F.col("words") > 0) & (F.col("words") <= F.col("gap"))
-    bins = units.join(near(gaps), "src").filter(fits).groupBy("src", "bin", "gap").agg(F.sum("words").alias("s"))
-    bins = bins.withColumn("upto", F.sum("s").over(Window.partitionBy("src").orderBy("bin")))
-    # The bin in which the gap is filled, if the source's documents fill it.
-    cut = bins.filter((F.col("upto") > F.col("gap")) & (F.col("upto") - F.col("s") <= F.col("gap"))).select("src", F.col("bin").alias("cut"), (F.col("gap") - F.col("upto") + F.col("s")).alias("left"))
-    marked = units.join(near(gaps.join(cut, "src", "left")), "src", "left")
-    at = F.coalesce(fits & (F.col("bin") == F.col("cut")), F.lit(False))
-    below = F.coalesce(fits & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), F.lit(False))
-    in_order = Window.partitionBy("src").orderBy("v", F.col("doc_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, 0)
-    plain = marked.filter(~at).withColumn("extra", F.when(below, 1).otherwise(F.col("extra")).cast("long"))
-    exact = marked.filter(at).withColumn("extra", F.when(F.sum("words").over(in_order) <= F.col("left"), 1).otherwise(0).cast("long"))
-    return plain.select(*units.columns).unionByName(exact.select(*units.columns))
+    e = F.least(F.lit(float(most)), F.col("level") * F.pow(F.lit(2.0), F.lit(float(tilt)) * F.col("class")))
+    units = units.join(table.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    units = units.withColumns({"sure": F.floor(e).cast("long"), "p": e - F.floor(e)})
+    # Null where nothing more is to be taken.
+    units = units.withColumn("q", F.when((F.col("p") > 0) & (F.col("words") > 0), (u / (1 - u)) * (1 - F.col("p")) / F.col("p")))
+    units = units.withColumn("v", F.col("q") / (1 + F.col("q"))).withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int"))
+    units = files.written(spark, units.select("doc_id", "source", "digest", "rows", "size", "words", "source_size", "target", "sure", "src", "room", "v", "bin"), "ranks")
+
+    # At most BINS rows a source: the bin in which its room is filled, and the last bin that is reached from there.
+    bins = units.filter("bin is not null").groupBy("src", "bin", "room").agg(F.sum("words").alias("s"), F.count("*").alias("n"))
+    upto = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumns({"s_upto": F.sum("s").over(upto), "n_upto": F.sum("n").over(upto)})
+    cut = F.col("s_upto") > F.col("room")
+    bins = bins.withColumn("n_cut", F.min(F.when(cut, F.col("n_upto"))).over(Window.partitionBy("src")))
+    cuts = bins.filter(cut).groupBy("src").agg(F.min("bin").alias("low"), F.min_by(F.col("room") - F.col("s_upto") + F.col("s"), "bin").alias("left"), F.min(F.when(F.col("n_upto") >= F.col("n_cut") + reach, F.col("bin"))).alias("high"))
+    cuts = files.written(spark, cuts, "cuts")
+    marked = units.join(cuts.withColumnRenamed("src", "cut_src"), F.col("src") == F.col("cut_src"), "left")
+    near = F.coalesce((F.col("bin") >= F.col("low")) & (F.col("bin") <= F.coalesce("high", F.lit(BINS))), F.lit(False))
+    below = F.col("bin").isNotNull() & (F.col("low").isNull() | (F.col("bin") < F.col("low")))
+    names = ["doc_id", "source", "digest", "rows", "size", "source_size", "target", "sure"]
+    plain = marked.filter(~near).select(*names, F.when(below, 1).otherwise(0).cast("long").alias("extra"))
+    kinds = dict(units.dtypes)
+    around = marked.filter(near).select(*names, "src", "words", "v", "left").groupBy("src").applyInPandas(_filled, ", ".join(f"{c} {kinds[c]}" for c in names) + ", extra long")
+    out = plain.unionByName(around)
+    return out.select(*names[:-1], (F.col("sure") + F.col("extra")).alias("copies"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs, each as often as the mix takes it."""
+    """docs, each as often as the mix takes it; all columns stay as they are.  For nulls and other cases see allocate()."""
+    own = files.inner(docs)
     taken = allocate(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).filter("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), F.col("copies").alias("__copies"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__digest"))
-    out = docs.join(taken, same).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+    taken = taken.select(*(F.col(c).alias(own + c) for c in ("doc_id", "source", "digest", "copies")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    same = F.col(f"{own}id").eqNullSafe(F.col(f"{own}doc_id")) & F.col(f"{own}from").eqNullSafe(F.col(f"{own}source")) & (F.col(f"{own}text") == F.col(f"{own}digest"))
+    keyed = docs.withColumns({f"{own}id": F.col(id_col).cast("long"), f"{own}from": F.col(source_col).cast("string"), f"{own}text": F.xxhash64(text)})
+    out = keyed.join(taken.hint("shuffle_hash"), same).withColumn(f"{own}n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}copies"))))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

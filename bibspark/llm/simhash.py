@@ -176,9 +176,9 @@ def links(fps: DataFrame, *, most: int = 3, run_limit: int = 1_000_000, buffer:
     width = BITS // (most + 1)
     blocks = F.array(*(F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(F.shiftleft("fp", j * width) if j else F.col("fp"), BITS - width).alias("key")) for j in range(most + 1)))
     rows = fps.select("fp", F.inline(blocks))
-    # At most (most + 1) * fingerprints / run_limit groups are so large: a table small enough to broadcast at any size.
+    # At most (most + 1) * fingerprints / run_limit groups are so large; Spark joins them by the size it sees.
     large = rows.groupBy("j", "key").count().filter(F.col("count") > run_limit).select("j", "key", F.ceil(F.col("count") / run_limit).cast("int").alias("chunks"))
-    rows = rows.join(F.broadcast(large), ["j", "key"], "left")
+    rows = rows.join(large, ["j", "key"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     chunks = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.least(i, own).alias("a"), F.greatest(i, own).alias("b")))
@@ -242,10 +242,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, most: int = 3) -> DataFrame:
-    """docs with one row of each component: that with the smallest id (null first); of equal rows one stays."""
+    """docs with one row of each component: that with the smallest id (null first); of equal rows one stays, and of rows with equal id
+    and text but other columns any.  All columns stay as they are; null and empty texts, ties and empty tables: near_duplicates()."""
+    own = files.inner(docs)
     _, rooted = _rooted(docs, id_col=id_col, text_col=text_col, size=size, most=most)
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")).distinct()
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(f"{own}kept")).distinct()
     kept = files.written(docs.sparkSession, kept, "kept")
-    out = docs.withColumn("__key", row_key(id_col, text_col)).join(kept, "__key")
-    once = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    return out.withColumn("__n", once).filter("__n = 1").select(*(f"`{c}`" for c in docs.columns))
+    keyed = docs.withColumn(f"{own}key", row_key(id_col, text_col))
+    # Rows that repeat a key are few wherever ids are ids; they meet after all others have gone.
+    out = keyed.join(kept.hint("shuffle_hash"), F.col(f"{own}key") == F.col(f"{own}kept"))
+    once = F.row_number().over(Window.partitionBy(f"{own}key").orderBy(F.lit(0)))
+    return out.withColumn(f"{own}n", once).filter(F.col(f"{own}n") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -177,21 +177,94 @@ def test_mixing(spark, tmp_path):
     assert all(0 <= want[s] - taken[s] + 1e-6 and want[s] - taken[s] <= 5 for s in sizes)
 
 
-def test_mixing_takes_by_odds(spark):
-    """Inclusion doesn't depend on a document's length: long and short ones are taken about as often."""
-    texts = [("a " * (5 if i % 2 else 50)) for i in range(2000)]
-    sources = ["x" if i < 1000 else "y" for i in range(2000)]
-    got = mixing.allocate(documents(spark, texts, sources), weights=(1, 1), growth=0.5).collect()
-    for size in (5, 50):
-        rate = np.mean([r.copies for r in got if r.size == size])
-        assert 0.42 < rate < 0.58
-
-
-def test_mix_repeats_rows(spark):
-    docs = documents(spark, ["a b", "a b", None, "c d e f"], ["s", "s", None, "t"], ids=[1, 1, None, 2]).withColumns({"copies": F.lit(1), "extra": F.lit(2)})
+def plain_mix(rows, us, weights=(5, 2, 1), growth=1.5, most=2.0, tilt=0.25, reach=2048, bins=1 << 16):
+    """{id: copies} of (id, text, source) with different ids, by ranking each source's documents; us are their U."""
+    size = {d: len(words(t)) for d, t, _ in rows}
+    sizes = Counter()
+    for d, _, s in rows:
+        sizes[s] += size[d]
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, capped, level = growth * sum(sizes.values()), set(), 0
+    while True:
+        rest = [s for s in order if s not in capped]
+        level = (total - sum(most * sizes[s] for s in capped)) / max(1e-300, sum(weight[s] for s in rest))
+        above = {s for s in rest if weight[s] * level > most * sizes[s]}
+        if not above:
+            break
+        capped |= above
+    out = {}
+    for s in order:
+        target = most * sizes[s] if s in capped else weight[s] * level
+        own = [d for d, _, x in rows if x == s]
+        e = lambda d, t: min(most, t * 2 ** (tilt * max(0, size[d].bit_length() - 1)))
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the level by halving
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(e(d, mid) * size[d] for d in own) < target else (low, mid)
+        t = high if target else 0.0
+        sure = {d: int(e(d, t) + 1e-9) for d in own}
+        p = {d: max(0.0, e(d, t) - sure[d]) for d in own}
+        left = target - sum(sure[d] * size[d] for d in own)
+        q = {d: us[d] / (1 - us[d]) * (1 - p[d]) / p[d] for d in own if p[d] > 1e-9 and size[d]}
+        taken, over, seen = set(), None, 0
+        ends = None
+        for d in sorted(q, key=lambda d: (q[d] / (1 + q[d]), d)):
+            b = min(bins - 1, int(q[d] / (1 + q[d]) * bins))
+            if size[d] <= left and (ends is None or b <= ends):
+                taken.add(d)
+                left -= size[d]
+            elif over is None:  # the reach counts from the end of this bin and goes to the end of a bin
+                over, counts = b, Counter(min(bins - 1, int(x / (1 + x) * bins)) for x in q.values())
+                seen = sum(n for k, n in counts.items() if k <= over)
+                for k in sorted(k for k in counts if k > over):
+                    seen += counts[k]
+                    if seen >= sum(n for j, n in counts.items() if j <= over) + reach:
+                        ends = k
+                        break
+        out |= {d: sure[d] + (d in taken) for d in own}
+    return out
+
+
+@pytest.mark.parametrize("reach", [0, 7, 2048])
+def test_mixing_against_plain_ranking(spark, reach):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.lognormal(3, 1.4)) if i % 50 else None, s) for s, n in (("hot", 900), ("b", 300), ("Z", 200), (None, 150)) for i in range(n)]
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "source"), 11) + 0.5) / float(1 << 53)
+    us = {r[0]: r[1] for r in docs.select("doc_id", u).collect()}
+    got = {r.doc_id: r.copies for r in mixing.allocate(docs, reach=reach).collect()}
+    want = plain_mix(rows, us, reach=reach)
+    size = {d: len(words(t)) for d, t, _ in rows}
+    assert {d: n for d, n in got.items() if size[d]} == {d: n for d, n in want.items() if size[d]}
+
+
+def test_mixing_takes_by_unequal_odds(spark):
+    """Long documents are likelier by the power tilt of their size class, and words come to the target for all tilts."""
+    texts = [("a " * (4 if i % 2 else 64)) for i in range(4000)]
+    sources = ["x" if i < 2000 else "y" for i in range(4000)]
+    for tilt in (0.0, 0.25, 0.5):
+        got = mixing.allocate(documents(spark, texts, sources), weights=(1, 1), growth=0.3, tilt=tilt).collect()
+        rate = {size: np.mean([r.copies for r in got if r.size == size]) for size in (4, 64)}
+        assert math.isclose(rate[64] / rate[4], 2 ** (tilt * 4), rel_tol=0.15)
+        assert abs(sum(r.copies * r.size for r in got) - 0.3 * sum(r.size for r in got)) <= 8
+
+
+def test_mixing_certain_copies_of_long_documents(spark):
+    """Where the level takes long documents to the most, they are taken so for certain and the others share the rest."""
+    texts = ["a " * 5000] * 3 + ["b " * 3] * 600
+    got = mixing.allocate(documents(spark, texts, ["s"] * len(texts)), growth=1.9, tilt=1.0).collect()
+    assert {r.copies for r in got if r.size == 5000} == {2} and abs(sum(r.copies * r.size for r in got) - 1.9 * sum(r.size for r in got)) <= 3
+
+
+def test_mix_repeats_rows_and_keeps_columns(spark):
+    mine = {"copies": 1, "extra": 2, "__id": 3, "__n": 4, "__source": 5, "___text": 6, "digest": 7}
+    docs = documents(spark, ["a b", "a b", None, "c d e f"], ["s", "s", None, "t"], ids=[1, 1, None, 2]).withColumns({k: F.lit(v) for k, v in mine.items()})
     out = mixing.mix(docs, growth=2.0)
-    assert out.columns == docs.columns
-    assert Counter(r.doc_id for r in out.collect())[1] == 4 and Counter(r.doc_id for r in out.collect())[2] == 2
+    rows = out.collect()
+    assert out.columns == docs.columns and all(r[k] == v for r in rows for k, v in mine.items())
+    assert Counter(r.doc_id for r in rows)[1] == 4 and Counter(r.doc_id for r in rows)[2] == 2
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -305,5 +378,8 @@ def test_pipeline_runs_and_takes_odd_tables(spark, tmp_path):
 
 
 def test_one_of_each_group_stays(spark):
-    docs = documents(spark, ["a b c d e"] * 40 + ["f g h i j"])
-    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [0, 40]
+    mine = {"__n": 5, "__key": 6, "___kept": 7, "root": 8, "fp": 9}
+    docs = documents(spark, ["a b c d e"] * 40 + ["f g h i j"]).withColumns({k: F.lit(v) for k, v in mine.items()})
+    got = simhash.deduplicated(docs)
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == [0, 40] and got.columns == docs.columns and all(r[k] == v for r in rows for k, v in mine.items())
