@@ -6,12 +6,16 @@ documents' ids, then n + 1 offsets into ``.ids``, all little-endian 64-bit integ
 ascending ids; a shard's base, the number of ids in all shards before it, is a prefix sum over the manifest, so
 that ``base + offset`` is a document's place in the corpus.  Both files can be memory-mapped.
 
-Writing: documents are encoded where they are read, dealt by id range (bounds from a scan of the id column
-alone), sorted within a shard and streamed out.  An attempt writes files of its own names and only a finished
-attempt's names enter the manifest, so that lost executors and second attempts leave nothing wrong behind.
-
-Defined cases: a null text is empty and yields the end id alone; null ids sort first and read back as null;
-repeated ids are kept, in the order of their token bytes; an empty table has no shards; other columns are ignored.
+Writing: documents are encoded where they are read, dealt by ranges of (id, first token bytes), sorted within a shard and
+streamed out.  There are as many shards as hold ``shard_bytes`` bytes of text each, and one for each task that can run at once at
+the least; their bounds are quantiles of a sample of as many rows a shard at any size, so that an id that repeats often
+is dealt over several.  An attempt writes files of its own names and only a finished attempt's names enter the manifest, so
+that lost executors and second attempts leave nothing wrong behind.  Reading maps local files, and takes ranges of the
+others, a batch of documents at a time.
+
+Defined cases: a null text is empty and yields the end id alone; null ids sort first and read back as null; a very long text is
+written whole; repeated ids are kept, in the order of their token bytes; an empty table has no shards; other columns are
+never read.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .tokens import vocabulary_size, word_ids
 
 #: A null document id in an .idx file.
 _NULL = np.iinfo(np.int64).min
+#: Token bytes of a document that tell its place among rows of one id; sampled rows for each shard.
+_HEAD, _SAMPLE = 32, 16
 
 
 def selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,18 +51,32 @@ def encoded(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int | Non
         yield batch.column(0), [(words.text(t.as_py()) if t.is_valid else b"") + end for t in batch.column(1)]
 
 
-def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None) -> dict:
-    """Write docs as a corpus below ``uri``; returns the manifest.  The driver holds one small row for each shard."""
+def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None, shard_bytes: int = 1 << 30) -> dict:
+    """Write docs as a corpus below ``uri``, in ``shards`` shards if it is given; returns the manifest.
+
+    The driver holds ``_SAMPLE`` small rows for each shard.
+    """
     spark = docs.sparkSession
     dtype = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    cuts = sorted(set(key.dropna().approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
+    n = shards or max(spark.sparkContext.defaultParallelism, -(-(size or 0) // shard_bytes))
+
+    def place(doc: int | None, ids: bytes) -> tuple:
+        return doc is not None, doc or 0, ids[:_HEAD]
+
+    def heads(batches):
+        for ids, packed in encoded(batches, tokenizer, end_id, dtype):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([x[:_HEAD] for x in packed], pa.binary())], names=["doc_id", "head"])
+
+    sample = selected(docs, id_col, text_col).sample(min(1.0, _SAMPLE * n / max(1, rows)), seed=1)
+    seen = sorted(place(r[0], bytes(r[1])) for r in sample.mapInArrow(heads, "doc_id long, head binary").collect())
+    cuts = sorted({seen[i * len(seen) // n] for i in range(1, n)}) if seen else []
+
     width = np.dtype(dtype).itemsize
 
     def deal(batches):
         for ids, packed in encoded(batches, tokenizer, end_id, dtype):
-            shard = [0 if d is None else bisect_right(cuts, d) for d in ids.to_pylist()]
+            shard = [bisect_right(cuts, place(d, x)) for d, x in zip(ids.to_pylist(), packed, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(packed, pa.binary())], names=["shard", "doc_id", "ids"])
 
     def save(batches):
@@ -90,13 +110,20 @@ def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id",
     return manifest
 
 
-def _mapped(system, path: str, dtype: str) -> np.ndarray:
-    if system.get_file_info(path).size == 0:
-        return np.empty(0, dtype=dtype)
-    if system.type_name == "local":
-        return np.memmap(path, dtype=dtype, mode="r")
-    with system.open_input_file(path) as f:
-        return np.frombuffer(f.read_buffer(), dtype=dtype)
+class _Ranges:
+    """Values of a file by place: a local file is mapped, of any other only the asked range is read."""
+
+    def __init__(self, system, path: str, dtype: str):
+        self.kind, size = np.dtype(dtype), system.get_file_info(path).size
+        self.n = size // self.kind.itemsize
+        local = system.type_name == "local" and self.n
+        self.map, self.file = (np.memmap(path, dtype=dtype, mode="r"), None) if local else (None, system.open_input_file(path))
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[at]
+        low, high, _ = at.indices(self.n)
+        return np.frombuffer(self.file.read_at((high - low) * self.kind.itemsize, low * self.kind.itemsize), self.kind)
 
 
 def read(spark: SparkSession, uri: str, *, batch_tokens: int = 1 << 20) -> DataFrame:
@@ -110,8 +137,8 @@ def read(spark: SparkSession, uri: str, *, batch_tokens: int = 1 << 20) -> DataF
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, at = files.open_fs(f"{uri}/{name}")
-                ids, index = _mapped(system, f"{at}.ids", dtype), _mapped(system, f"{at}.idx", "<i8")
-                n = (len(index) - 1) // 2
+                ids, index = _Ranges(system, f"{at}.ids", dtype), _Ranges(system, f"{at}.idx", "<i8")
+                n = (index.n - 1) // 2
                 docs, offsets = index[:n], index[n:]
                 i = 0
                 while i < n:

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bibspark.llm import files, packing, queries, token_files, tokens
@@ -63,6 +64,34 @@ def test_files_round_trip(spark, tmp_path, whole):
     assert got == expected(list(zip(ids, TEXTS, strict=True)), whole)
 
 
+def test_an_id_that_repeats_fills_several_shards(spark, tmp_path, whole):
+    rows = [(i, f"text {i}") for i in range(40)] + [(7, f"hot {i}") for i in range(400)] + [(None, "none")] * 3
+    uri = files.scratch(spark, "hot")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "shard": F.lit(2), "n": F.lit(3)})
+    made = token_files.write(docs, uri, FILE, shards=10)
+    assert len(made["shards"]) >= 8 and max(s["docs"] for s in made["shards"]) < 150
+    got = [(r.doc_id, r.start, bytes(r.ids)) for r in sorted(token_files.read(spark, uri).collect(), key=lambda r: r.start)]
+    assert [d for d, _, _ in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert sorted((d, x) for d, _, x in got if d) == sorted((d, np.array([*whole(t), 1], "<u4").tobytes()) for d, t in rows if d)
+    assert [s for _, s, _ in got] == [sum(len(x) // 4 for _, _, x in got[:i]) for i in range(len(got))]
+
+
+def test_shards_grow_with_the_texts(spark):
+    docs = spark.createDataFrame([(i, "word " * 2000) for i in range(60)], "doc_id long, text string")
+    few, many = (len(token_files.write(docs, files.scratch(spark, "grow"), FILE, shard_bytes=b)["shards"]) for b in (1 << 30, 20_000))
+    assert few <= spark.sparkContext.defaultParallelism < 20 < many <= 31
+
+
+def test_ranges_of_files_that_arent_local(tmp_path):
+    from pyarrow import fs
+
+    values = np.arange(1000, dtype="<u2")
+    (tmp_path / "x").write_bytes(values.tobytes())
+    away = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    got = token_files._Ranges(away, "x", "<u2")
+    assert got.map is None and got.n == 1000 and got[10:20].tolist() == list(range(10, 20)) and got[:3].tolist() == [0, 1, 2] and got[998:].tolist() == [998, 999]
+
+
 def test_null_ids_and_empty_table(spark, tmp_path, whole):
     rows = [(None, "null id"), (2, "b"), (1, "a"), (2, "a")]
     sf = saved(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
@@ -105,6 +134,12 @@ def test_packing(spark, tmp_path, whole):
     assert check_pieces(queries.op10_packing(spark, sf).collect(), coded) < 0.01
 
 
+def test_packing_never_reads_other_columns(spark, whole):
+    docs = documents(spark, ["a b c", None], ids=[1, 2]).withColumns({c: F.lit(9) for c in ("ids", "start", "length", "doc_tokens", "sequence_id", "offset", "__id")})
+    got = packing.pack_documents(docs, FILE).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.doc_tokens) for r in got) == [(1, 0, len(whole("a b c")) + 1, len(whole("a b c")) + 1), (2, 0, 1, 1)]
+
+
 def test_packing_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(empty, FILE).count() == 0
