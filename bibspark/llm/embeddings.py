@@ -2,9 +2,10 @@
 
 Only vectors of one label are compared.  Equal vectors form a class and are settled by one aggregation; all below
 works on one representative of each class.  A table's hash rotates the unit vector by three rounds of random
-signs and a Hadamard transform and takes the nearest signed axis, in several independent rotations.  There are as many
-rotations, at least two, as keep buckets of unrelated vectors small for the number of vectors, and with each more twice the
-tables, so that candidates grow in proportion and recall stays.  A vector is
+signs and a Hadamard transform and takes the nearest signed axis, in ``cuts`` independent rotations.  The hash is the same
+for any number of vectors: a vector makes tables * probes rows.  With three rotations a label has (2 * d) ** 3 buckets a table, d being
+the dimension's next power of two: 2 million for 64 dimensions, 2 billion for 512, so buckets of unrelated vectors stay small up
+to some tens of millions of vectors a label at 64 dimensions; for more, name more rotations and tables.  A vector is
 stored in its own bucket of every table and looks into the buckets of the next best axes as well (multiprobe).
 Buckets hold ids; a large one is dealt into chunks, and each pair of chunks is compared by its own task.  Pairs are
 verified by their cosine in double precision, the lower side's table first to find a pair reporting it alone.
@@ -12,7 +13,6 @@ verified by their cosine in double precision, the lower side's table first to fi
 
 from __future__ import annotations
 
-import math
 from itertools import product
 
 import numpy as np
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from . import files
 from .graph import components
 
-#: Unrelated vectors that a bucket may hold on average; the most rotations of one hash; axes tried in each.
-CROWD, MOST_CUTS, AXES = 16, 5, 4
+#: Signed axes tried in each rotation.
+AXES = 4
+#: Rotations of a hash, tables, and buckets that a vector looks into in each.
+CUTS, TABLES, PROBES = 3, 12, 6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -49,13 +51,7 @@ def rotate(units: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def cuts_for(n: int, dim: int) -> int:
-    """Rotations of one hash for n vectors: a bucket of unrelated ones then holds about CROWD of them at most."""
-    axes = 2 * (1 << max(0, dim - 1).bit_length())
-    return min(MOST_CUTS, max(2, math.ceil(math.log(max(1, n) / CROWD) / math.log(axes)))) if n > CROWD else 2
-
-
-def buckets(units: np.ndarray, table: int, probes: int, cuts: int = 2) -> np.ndarray:
+def buckets(units: np.ndarray, table: int, probes: int, cuts: int) -> np.ndarray:
     """(vectors, probes) bucket numbers of one table: each vector's own first, then the next best by their axes' margins."""
     best, loss = [], []
     k = min(AXES, probes, 2 * (1 << max(0, units.shape[1] - 1).bit_length()))
@@ -84,12 +80,9 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def near_pairs(classes: DataFrame, *, least: float = 0.93, tables: int = 8, probes: int = 4, chunk: int = 1024) -> DataFrame:
+def near_pairs(classes: DataFrame, *, least: float = 0.93, tables: int = TABLES, probes: int = PROBES, cuts: int = CUTS, chunk: int = 1024) -> DataFrame:
     """(u, v, cos) with u < v: classes (id, label, vec) of equal label with a cosine of ``least`` or more."""
     spark = classes.sparkSession
-    n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
-    cuts = cuts_for(n, dim)
-    tables, probes = tables << (cuts - 2), probes << (cuts - 2)
 
     def hashed(batches):
         for batch in batches:
@@ -132,12 +125,13 @@ def near_pairs(classes: DataFrame, *, least: float = 0.93, tables: int = 8, prob
     return files.written(spark, pairs.select("u", "v", "x", "y").mapInArrow(verified, "u long, v long, cos double"), "pairs")
 
 
-def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.93, tables: int = 8, probes: int = 4) -> DataFrame:
+def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.93, tables: int = TABLES, probes: int = PROBES, cuts: int = CUTS) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each vector.
 
     Defined cases: a null label or id, a null, empty or zero vector and one with a null or non-finite component link with
-    nothing; vectors of different lengths have no cosine and don't link; repeated ids are rows of their own; an empty table gives no
-    rows; other columns are ignored.
+    nothing; vectors of different lengths have no cosine and don't link, however long; equal vectors (ties) are one class, and
+    component_id is the least id among all of theirs; repeated ids are rows of their own; an empty table gives no rows; other
+    columns are never read.
     """
     spark = table.sparkSession
     vec = F.col(vec_col).cast("array<double>")
@@ -151,7 +145,7 @@ def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vec_col: str =
     classes = good.groupBy("digest").agg(F.min(F.struct("vec_id", "label", "vec")).alias("r"), F.count("*").alias("copies"))
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "digest", F.col("r.vec_id").alias("first"), F.col("r.label").alias("label"), F.col("r.vec").alias("vec"), "copies")
     classes = files.written(spark, classes, "classes")
-    pairs = near_pairs(classes, least=least, tables=tables, probes=probes)
+    pairs = near_pairs(classes, least=least, tables=tables, probes=probes, cuts=cuts)
     both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     linked = both.join(classes.select(F.col("id").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
     roots = components(spark, pairs.select("u", "v"))

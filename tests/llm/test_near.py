@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bibspark.llm import embeddings, graph, queries, simhash
 
@@ -152,22 +153,32 @@ def test_embeddings_repeats_and_empty(spark):
     assert embeddings.near_duplicates(t.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("dim", "cuts"), [(24, 2), (64, 2), (300, 2), (64, 3), (64, 4)])
-def test_recall_at_the_threshold(dim, cuts):
+def at_the_threshold(dim, n, cosine=0.93):
     rng = np.random.default_rng(dim)
-    a = embeddings.unit(rng.normal(size=(400, dim)))
+    a = embeddings.unit(rng.normal(size=(n, dim)))
     side = rng.normal(size=a.shape)
     side = embeddings.unit(side - (side * a).sum(1, keepdims=True) * a)
-    b = 0.93 * a + math.sqrt(1 - 0.93**2) * side
+    return a, cosine * a + math.sqrt(1 - cosine**2) * side
+
+
+@pytest.mark.parametrize("dim", [24, 64, 128, 300, 384])
+def test_recall_at_the_threshold(dim):
+    a, b = at_the_threshold(dim, 400)
     hit = np.zeros(len(a), bool)
-    for t in range(8 << (cuts - 2)):
-        x, y = (embeddings.buckets(v, t, 4 << (cuts - 2), cuts) for v in (a, b))
+    for t in range(embeddings.TABLES):
+        x, y = (embeddings.buckets(v, t, embeddings.PROBES, embeddings.CUTS) for v in (a, b))
         hit |= (x == y[:, :1]).any(1) | (y == x[:, :1]).any(1)
-    assert hit.mean() >= 0.98
+    assert hit.mean() >= 0.99
 
 
-def test_rotations_grow_with_the_table():
-    assert [embeddings.cuts_for(n, 64) for n in (0, 10, 50_000, 10**7, 10**9)] == [2, 2, 2, 3, 4]
+@pytest.mark.parametrize(("dim", "cuts", "tables", "probes"), [(64, 3, 12, 6), (64, 2, 8, 4), (64, 4, 32, 16), (300, 3, 12, 6)])
+def test_links_at_the_threshold(spark, dim, cuts, tables, probes):
+    """Recall of the whole operator: pairs just above the threshold are linked, those just below never."""
+    near, far = at_the_threshold(dim, 300, 0.9301), at_the_threshold(dim + 1, 100, 0.9299)
+    rows = [(2 * i + k, v[i].tolist(), 1) for k, v in enumerate(near) for i in range(300)] + [(10_000 + 2 * i + k, v[i].tolist(), 1) for k, v in enumerate(far) for i in range(100)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"id": F.lit(1), "u": F.lit(2), "own": F.lit(3), "digest": F.lit(4)})
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, cuts=cuts, tables=tables, probes=probes).collect()}
+    assert np.mean([got[i] == 1 for i in range(600)]) >= 0.98 and not any(n for i, n in got.items() if i >= 10_000) and max(got.values()) == 1
 
 
 def test_rotation_keeps_lengths():
