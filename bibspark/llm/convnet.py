@@ -6,7 +6,8 @@ text's features are the largest and the mean of its chunks' responses.  A logist
 probability.  Empty texts are padded with zero bytes and scored like others.
 
 Training reads at most ``max_rows`` labelled rows (those with the smallest hashes, so any size gives such a sample) whose
-texts have at most ``max_bytes`` bytes together; both are parameters.  Scoring covers every byte of every text.
+whole texts have at most ``max_bytes`` bytes together, and passes ``epochs`` times over them with a rate that falls to the
+last; all three are parameters, and nothing else ends training or leaves a text out.  Scoring covers every byte of every text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import files
+
 WIDTH, STEP, EMBED, FILTERS = 12, 4, 6, 48
 #: Windows of a chunk; chunks overlap by WIDTH - STEP bytes, so windows run on from one to the next.
 WINDOWS = 256
@@ -95,8 +98,8 @@ def _gradients(net: Net, text: bytes, label: float, weight: float) -> tuple[Net,
     return Net(g_embed, g_filters, g_pooled.sum(0), d * feats, np.array([d], np.float32)), loss
 
 
-def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 5, budget_bytes: int = 60_000_000) -> Net:
-    """Adam over balanced log loss.  Epochs end early once ``budget_bytes`` bytes were read."""
+def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 5) -> Net:
+    """Adam over balanced log loss."""
     net, rng = new_net(seed), np.random.default_rng(seed)
     y = np.array(labels)
     share = y.mean() if len(y) else 0.5
@@ -104,7 +107,7 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int
     names = [f.name for f in fields(Net)]
     m = {k: np.zeros_like(getattr(net, k)) for k in names}
     v = {k: np.zeros_like(getattr(net, k)) for k in names}
-    t, read = 0, 0
+    t = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
@@ -112,7 +115,6 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int
             sums = {k: np.zeros_like(getattr(net, k)) for k in names}
             for i in rows:
                 g, _ = _gradients(net, texts[i], float(y[i]), float(weights[i]))
-                read += len(texts[i])
                 for k in names:
                     sums[k] += getattr(g, k)
             t += 1
@@ -122,48 +124,49 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 getattr(net, k)[...] -= (step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-        if read >= budget_bytes:
-            break
     return net
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_rows: int, max_bytes: int) -> list[tuple[bytes, int]]:
-    """At most ``max_rows`` labelled rows, as many of each label as there are up to half, with whole texts."""
+    """At most ``max_rows`` labelled rows, as many of each label as there are up to half, with whole texts of at most ``max_bytes`` in all."""
     spark = docs.sparkSession
-    clean = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isin(0, 1))
-    clean = clean.groupBy("__id").agg(F.min("__y").alias("__y"))
+    clean = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
+    clean = clean.groupBy("id").agg(F.min("y").alias("y"))
     chosen = []
     for y in (0, 1):
-        chosen += [(r[0], y) for r in clean.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_rows // 2).select("__id").collect()]
+        chosen += [(r[0], y) for r in clean.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2).select("id").collect()]
     if not chosen:
         return []
     # At most max_rows short rows: a bound that doesn't grow with the data.
-    few = F.broadcast(spark.createDataFrame(chosen, "__id long, __y int"))
-    found = docs.join(few, F.col(id_col) == F.col("__id")).select("__id", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), "__y")
-    # Short texts first in hash order of their ids; a text over a hundredth of the bytes isn't learned from.
-    found = found.filter(F.octet_length("t") <= max_bytes // 100)
-    sized = sorted((zlib.crc32(str(r[0]).encode()), r[0], r[1]) for r in found.select("__id", F.octet_length("t")).collect())
-    total, keep = 0, set()
-    for _, i, n in sized:
-        total += n
-        if total <= max_bytes:
-            keep.add(i)
-    rows = found.collect() if len(keep) == len(sized) else found.filter(F.col("__id").isin(list(keep))).collect()
-    return [(r.t.encode(), r["__y"]) for r in sorted(rows, key=lambda r: (r["__id"], r.t))]
-
-
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None, max_rows: int = 4000, max_bytes: int = 16_000_000) -> DataFrame:
+    few = F.broadcast(spark.createDataFrame(chosen, "id long, y int"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).join(few, "id")
+    # One text for each id, however many rows repeat it: at most max_rows rows are written, and read twice.
+    found = files.written(spark, found.groupBy("id", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.octet_length("t"))).alias("t")), "sample")
+    total, keep = 0, []
+    for _, i, n in sorted((zlib.crc32(str(r[0]).encode()), r[0], r[1]) for r in found.select("id", F.octet_length("t")).collect()):
+        if total + n <= max_bytes:  # else the next that still fits
+            total += n
+            keep.append((i,))
+    if not keep:
+        return []
+    rows = found.join(F.broadcast(spark.createDataFrame(keep, "id long")), "id").collect()
+    return [(r.t.encode(), r.y) for r in sorted(rows, key=lambda r: r.id)]
+
+
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None, max_rows: int = 4000, max_bytes: int = 10_000_000, epochs: int = 6) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every text; rows that ``held_out`` marks are never learned from.
 
     Defined cases: a null text is empty; a null label, and one other than 0 and 1, is left out; a document labelled twice counts once, as
-    the lower; repeated ids are rows of their own; without labelled rows every score is 0.5; an empty table gives no rows; other
-    columns are never read.
+    the lower; repeated ids are rows of their own, and teach once, by the text of the least hash; a very long text is scored whole, and
+    learned from whole if it fits ``max_bytes``; ties at the end of the sample go by id; without labelled rows every score is 0.5;
+    an empty table gives no rows; other columns are never read.
     """
     spark = docs.sparkSession
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     open_ = labels if held_out is None else labels.filter(~held)
     sample = labelled_sample(docs, open_, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows, max_bytes=max_bytes)
-    shared = spark.sparkContext.broadcast(train([t for t, _ in sample], [y for _, y in sample]))
+    shared = spark.sparkContext.broadcast(train([t for t, _ in sample], [y for _, y in sample], epochs=epochs))
 
     def run(batches):
         net = shared.value
