@@ -25,6 +25,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ SUFFIXES, DISCOUNT, PRIOR, FLOOR = 2048, 0.5, 8.0, 0.1
 END = b""
 #: Items whose counts one task adds up at a time.
 _BUCKET = 16384
+#: Items and classes beside them that a task sorts and sums before it sends them.
+_KEYS = 1 << 23
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -150,11 +153,11 @@ class _Block(dict):
 
 
 def _blob(x: np.ndarray, kind: str) -> bytes:
-    return zlib.compress(x.astype(kind).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, kind).data)
 
 
 def _unblob(data: pa.Scalar, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data.as_py()), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), kind)
 
 
 def coded(docs: DataFrame, vocab: Vocabulary, words: DataFrame | None = None, *, block_tokens: int = 2_000_000) -> DataFrame:
@@ -174,6 +177,7 @@ def coded(docs: DataFrame, vocab: Vocabulary, words: DataFrame | None = None, *,
         waiting, n, table = [], 0, _Block()
 
         def block():
+            waiting.sort(key=lambda w: bool(w[1]))  # training texts first
             code = _blob(np.concatenate([w[2] for w in waiting]), "<i4")
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([number]), "doc_id": pa.array([[w[0] for w in waiting]], pa.list_(pa.int64())), "held_out": pa.array([[w[1] for w in waiting]], pa.list_(pa.bool_())),
@@ -234,25 +238,37 @@ def coded(docs: DataFrame, vocab: Vocabulary, words: DataFrame | None = None, *,
                     **{k: pa.array([get(k)], t) for k, t in (("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())))},
                     "n_known": pa.array([per((c > 0).astype(np.int64))], pa.list_(pa.int64())), "base": pa.array([per(np.log10((c + 1) / unit))], pa.list_(pa.float64())),
                     "within": pa.array([per(within + mass)], pa.list_(pa.float64())), "items": pa.array([_blob(item[code], "<u4")], pa.binary()),
+                    "n_train": pa.array([int(sizes[~get("held_out").to_numpy(zero_copy_only=False)].sum())], pa.int64()),
                 })
 
-    kinds = "doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, within array<double>, items binary"
+    kinds = "doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, within array<double>, items binary, n_train long"
     return files.written(spark, back.mapInArrow(number, kinds), "coded")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 by bytes, the low ones of all first: the high ones are mostly zero and pack to nothing."""
+    return _blob(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T, "u1")
+
+
+def _unplanes(data: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(_unblob(data, "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def _buckets(items: int) -> int:
+    """A power of two, so that an item's bucket is its low bits."""
+    return 1 << max(6, (-(-items // _BUCKET) - 1).bit_length())
+
+
 def _training(batches):
-    """(token before, token) item numbers of each block's training texts; the end of one text stands before the next."""
+    """Item numbers of each block's training texts, which stand first; the end of one text stands before the next."""
     for batch in batches:
         for row in range(batch.num_rows):
-            sizes = batch.column("n_tokens")[row].values.to_numpy()
-            held = batch.column("held_out")[row].values.to_numpy(zero_copy_only=False)
-            at = _unblob(batch.column("items")[row], "<u4").astype(np.int64)
-            at = at[np.repeat(~held, sizes)]
-            if len(at):
-                yield np.concatenate([at[-1:], at[:-1]]), at
+            n = batch.column("n_train")[row].as_py()
+            if n:
+                yield _unblob(batch.column("items")[row], "<u4")[:n]
 
 
-_TEXTS = ("held_out", "n_tokens", "items")
+_TEXTS = ("n_train", "items")
 
 
 def pair_counts(texts: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
@@ -261,8 +277,9 @@ def pair_counts(texts: DataFrame, classes: np.ndarray, n_classes: int) -> np.nda
 
     def count(batches):
         of, out = shared.value, np.zeros(n_classes * n_classes, np.int64)
-        for last, at in _training(batches):
-            out += np.bincount(of[last].astype(np.int64) * n_classes + of[at], minlength=len(out))
+        for at in _training(batches):
+            c = of[at]
+            out += np.bincount(np.roll(c, 1) * np.uint32(n_classes) + c, minlength=len(out))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "n"])
 
     out = np.zeros(n_classes * n_classes, np.int64)
@@ -279,22 +296,33 @@ def _small(classes: np.ndarray, n_classes: int) -> np.ndarray:
 def _by_bucket(texts: DataFrame, classes: np.ndarray, n_classes: int, finish, schema: str) -> list:
     """Rows of finish(bucket, counts): how often each class stands before and after each item; items go round the buckets."""
     spark, n, width = texts.sparkSession, len(classes), 2 * n_classes
-    n_buckets = max(64, -(-n // _BUCKET))
-    rows = -(-n // n_buckets)
+    n_buckets = _buckets(n)
+    rows, bits = -(-n // n_buckets), n_buckets.bit_length() - 1
     shared = spark.sparkContext.broadcast(_small(classes, n_classes))
     kind = np.uint32 if n_buckets * rows * width < 1 << 32 else np.uint64
 
+    def sums(held):
+        keys = np.concatenate(held)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        seen, keys = np.diff(np.append(first, len(keys))), keys[first].astype(np.int64)
+        cuts = np.searchsorted(keys, np.arange(n_buckets + 1) * rows * width)
+        some = [b for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
+        part = lambda x, b: x[cuts[b] : cuts[b + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_planes(np.diff(part(keys, b), prepend=b * rows * width)) for b in some], pa.binary()), pa.array([_planes(part(seen, b)) for b in some], pa.binary())], names=["bucket", "keys", "seen"])
+
     def count(batches):
-        of = shared.value
-        for last, at in _training(batches):
-            place = lambda x: (x % n_buckets * rows + x // n_buckets) * width
-            keys = np.sort(np.concatenate([place(at) + of[last], place(last) + n_classes + of[at]]).astype(kind))
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            seen, keys = np.diff(np.append(first, len(keys))), keys[first].astype(np.int64)
-            cuts = np.searchsorted(keys, np.arange(n_buckets + 1) * rows * width)
-            some = [b for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
-            part = lambda x, b: x[cuts[b] : cuts[b + 1]]  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_blob(np.diff(part(keys, b), prepend=b * rows * width), "<u4") for b in some], pa.binary()), pa.array([_blob(part(seen, b), "<u4") for b in some], pa.binary())], names=["bucket", "keys", "seen"])
+        of, held, size = shared.value, [], 0
+        for at in _training(batches):
+            x, c = at.astype(kind), of[at].astype(kind)
+            place = ((x & kind(n_buckets - 1)) * kind(rows) + (x >> kind(bits))) * kind(width)
+            held += [place + np.roll(c, 1), np.roll(place, 1) + kind(n_classes) + c]
+            size += 2 * len(at)
+            if size >= _KEYS:
+                yield sums(held)
+                held, size = [], 0
+        if held:
+            yield sums(held)
 
     def total(batches):
         now, held = None, None
@@ -304,7 +332,7 @@ def _by_bucket(texts: DataFrame, classes: np.ndarray, n_classes: int, finish, sc
                     if now is not None:
                         yield finish(now, held.reshape(rows, width))
                     now, held = b.as_py(), np.zeros(rows * width, np.int64)
-                held[np.cumsum(_unblob(keys, "<u4"), dtype=np.int64)] += _unblob(seen, "<u4")
+                held[np.cumsum(_unplanes(keys), dtype=np.int64)] += _unplanes(seen)
         if now is not None:
             yield finish(now, held.reshape(rows, width))
 
@@ -316,17 +344,17 @@ def _by_bucket(texts: DataFrame, classes: np.ndarray, n_classes: int, finish, sc
 
 def contexts(texts: DataFrame, vocab: Vocabulary, classes: np.ndarray, n_classes: int) -> np.ndarray:
     """(items, 2 * n_classes): how often each class stands before and after each item, on the driver: to look at small models."""
-    n_buckets = max(64, -(-len(classes) // _BUCKET))
+    n_buckets = _buckets(len(classes))
     out = np.zeros((len(classes), 2 * n_classes), np.int64)
     for r in _by_bucket(texts, classes, n_classes, lambda b, seen: pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_blob(seen, "<i8")], pa.binary())], names=["b", "seen"]), "b long, seen binary"):
         own = out[r.b :: n_buckets]
-        own[:] = np.frombuffer(zlib.decompress(r.seen), "<i8").reshape(-1, 2 * n_classes)[: len(own)]
+        own[:] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.seen), "<i8").reshape(-1, 2 * n_classes)[: len(own)]
     return out
 
 
 def exchanged(texts: DataFrame, classes: np.ndarray, n_classes: int, pairs: np.ndarray, turn: int) -> np.ndarray:
     """Classes after one turn, each item moved by the task that has its counts; pairs are the class counts before it."""
-    n_buckets, gain, small = max(64, -(-len(classes) // _BUCKET)), gains(pairs), _small(classes, n_classes)
+    n_buckets, gain, small = _buckets(len(classes)), gains(pairs), _small(classes, n_classes)
     shared = texts.sparkSession.sparkContext.broadcast(small)
 
     def move(b, seen):
@@ -383,8 +411,9 @@ def first_classes(vocab: Vocabulary, n_classes: int) -> np.ndarray:
             late = np.array([own + zlib.crc32(w[-2:]) % (n_classes - own) for w in batch.column(0).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([_blob(item, "<i8")], pa.binary()), pa.array([_blob(np.where(item < own, item, late), "<u2")], pa.binary())], names=["item", "class"])
 
+    unpack = zstandard.ZstdDecompressor().decompress
     for r in rows.select("word", "item").mapInArrow(start, "item binary, class binary").toLocalIterator():
-        out[np.frombuffer(zlib.decompress(r[0]), "<i8")] = np.frombuffer(zlib.decompress(r[1]), "<u2")
+        out[np.frombuffer(unpack(r[0]), "<i8")] = np.frombuffer(unpack(r[1]), "<u2")
     out[vocab.size :] = own + np.arange(SUFFIXES) % (n_classes - own)
     return out
 

@@ -130,6 +130,41 @@ def test_brown_exchange_on_executors(spark, sf_dir):
         assert (got == brown.exchange(seen, classes, 16, moving)).all() and (got != classes).any()
 
 
+def test_brown_score_against_plain(spark):
+    """Every document's score, summed token by token from counts and classes alone."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"W{int(rng.zipf(1.4)) % 60}" for _ in range(int(rng.integers(0, 40)))) for _ in range(60)] + [None, "never seen", "w1 " * 300]
+    docs = documents(spark, texts).withColumns({c: F.lit(9) for c in ("c", "item", "block", "n_tokens", "words", "__id", "base")})
+    held = F.col("doc_id") % 7 == 2
+    got = {r.doc_id: r for r in brown.score(docs, held_out=held, n_classes=8).collect()}
+    training = [brown.tokens(t) for i, t in enumerate(texts) if i % 7 != 2]
+    _, m = brown.train(spark.createDataFrame([(t,) for i, t in enumerate(texts) if i % 7 != 2], "text string"), n_classes=8)
+    counts = Counter(w for t in training for w in t)
+    own = {w: i for i, w in enumerate(m.vocab.words)}
+    assert set(own) == {w for w, n in counts.items() if n >= 5 or not w}
+    item = lambda w: own.get(w, len(own) + brown.suffix(w))
+    of = lambda w: m.classes[item(w)]
+    item_count = Counter(item(w) for t in training for w in t)
+    types, n_classes = Counter(item(w) for w in counts), 8
+    pairs = np.zeros((n_classes, n_classes))
+    for t in training:
+        for a, b in zip([b"", *t[:-1]], t, strict=True):
+            pairs[of(a), of(b)] += 1
+    prior = (pairs.sum(0) + 1) / (pairs.sum() + n_classes)
+    step = (pairs + brown.PRIOR * prior) / (pairs.sum(1, keepdims=True) + brown.PRIOR)
+    sizes = [sum(item_count[i] + brown.FLOOR for i in range(len(m.classes)) if m.classes[i] == c) for c in range(n_classes)]
+    for d, text in enumerate(texts):
+        log = 0.0
+        for a, b in zip([b"", *brown.tokens(text)[:-1]], brown.tokens(text), strict=True):
+            i = item(b)
+            within = 1.0
+            if b not in own:
+                n = item_count[i]
+                within = (counts[b] - brown.DISCOUNT) / n if counts[b] else brown.DISCOUNT * types[i] / n if n else 1.0
+            log += math.log10(step[of(a), of(b)] * (item_count[i] + brown.FLOOR) / sizes[of(b)] * within)
+        assert math.isclose(got[d].score, log, rel_tol=1e-9) and got[d].held_out == (d % 7 == 2) and got[d].train_tokens == sum(map(len, training))
+
+
 def test_brown_turns_until_nothing_is_gained(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
     _, m = brown.train(rows, tolerance=0.002)
@@ -316,6 +351,28 @@ def test_net_edge_cases(spark):
     assert convnet.score(docs.limit(0), labels).count() == 0
 
 
+def test_net_sample_is_bounded_in_rows_and_bytes(spark):
+    """Repeated rows of a labelled id teach once; long texts are in while they fit; nothing else is left out."""
+    texts = ["x" * 3000] * 500 + ["long " * 40_000] + [f"text {i}" for i in range(30)]
+    ids = [7] * 500 + [8] + list(range(100, 130))
+    docs = documents(spark, texts, ids=ids).withColumns({"id": F.lit(1), "y": F.lit(2), "t": F.lit("z"), "__id": F.lit(3)})
+    labels = spark.createDataFrame([(i, i % 2) for i in sorted(set(ids))], "doc_id long, quality int")
+    how = {"id_col": "doc_id", "text_col": "text", "label_col": "quality"}
+    every = convnet.labelled_sample(docs, labels, **how, max_rows=100, max_bytes=10**6)
+    assert sorted(map(len, (t for t, _ in every)))[-2:] == [3000, 200_000] and len(every) == 32
+    assert sum(len(t) for t, _ in convnet.labelled_sample(docs, labels, **how, max_rows=100, max_bytes=5000)) <= 5000
+    assert len(convnet.labelled_sample(docs, labels, **how, max_rows=10, max_bytes=10**6)) == 10
+
+
+def test_net_is_trained_to_the_end():
+    """Every epoch counts: the rate falls to the last one whatever the sample's size, so more bytes are never fewer epochs."""
+    rng = np.random.default_rng(1)
+    good = [bytes(rng.integers(97, 110, 3000).astype(np.uint8)) for _ in range(12)]
+    bad = [bytes(rng.integers(110, 123, 3000).astype(np.uint8)) for _ in range(12)]
+    net = convnet.train(good + bad, [1] * 12 + [0] * 12, epochs=6)
+    assert convnet.probability(net, good).min() > 0.5 > convnet.probability(net, bad).max()
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from bibspark.llm import files, queries, warc
 
@@ -33,6 +34,13 @@ def test_payloads_and_small_ones(spark):
     assert got == {1: ("response", b"aa", None), 2: ("response", b"aa", None), 3: ("response", b"aaaa", None), 4: ("revisit", None, 3)}
 
 
+def test_other_columns_are_never_read(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumns({c: F.lit(9) for c in ("payload", "digest", "first", "n", "__id", "record_type")})
+    plain, uri, other = spark.createDataFrame(PAGES, "page_id long, url string, html string"), files.scratch(spark, "warc"), files.scratch(spark, "warc")
+    got, want = (sorted(map(str, warc.read(spark, at, [n for n, _ in warc.write(t, at)]).collect())) for t, at in ((pages, uri), (plain, other)))
+    assert got == want
+
+
 def test_empty_table(spark):
     uri = files.scratch(spark, "warc")
     assert warc.write(spark.createDataFrame([], "page_id long, url string, html string"), uri) == []
