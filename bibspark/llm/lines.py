@@ -97,7 +97,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "s
     common = counts.join(limits, host).filter("docs > most").select(host, "h")
     hit = lines.filter("at >= 0").join(files.written(spark, common, "common_lines"), [host, "h"])
     hit = hit.groupBy(host, d).agg(F.sum("n").alias(f"{own}removed"), F.collect_list("at").alias(f"{own}gone"))
-    out = base_features(docs.withColumns(keys), text_col, own).join(hit.hint("shuffle_hash"), [host, d], "left")
+    out = base_features(docs.withColumns(keys), text_col, own).join(hit.hint("merge"), [host, d], "left")
     removed, words = F.coalesce(F.col(f"{own}removed"), F.lit(0)), F.col(f"{own}n_words")
     failed = (words < 50) | (100 * F.col(f"{own}n_repeat_words") > 50 * words)
     every = F.split(text, "\n")
@@ -138,7 +138,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     gone = later.groupBy("id", "d").agg(F.collect_set("p").alias("p"))
     gone = files.written(spark, gone.select(F.col("id").alias(f"{own}id"), F.col("d").alias(f"{own}d"), F.col("p").alias(f"{own}p")), "covered")
     same = F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}digest") == F.col(f"{own}d"))
-    out = docs.withColumn(f"{own}digest", F.xxhash64(text)).join(gone.hint("shuffle_hash"), same, "left")
+    out = docs.withColumn(f"{own}digest", F.xxhash64(text)).join(gone.hint("merge"), same, "left")
     out = out.withColumn(f"{own}all", F.split(text, "\n")).withColumn(f"{own}l", numbered.getField("i"))
     out = out.withColumn(f"{own}c", F.expr(f"array_distinct(flatten(transform({own}p, x -> array(x, x + 1, x + 2))))"))
     kept = f"array_except(sequence(0, size({own}all) - 1), transform({own}c, x -> {own}l[x]))"

@@ -128,5 +128,5 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     same = F.col(f"{own}id").eqNullSafe(F.col(f"{own}doc_id")) & F.col(f"{own}from").eqNullSafe(F.col(f"{own}source")) & (F.col(f"{own}text") == F.col(f"{own}digest"))
     keyed = docs.withColumns({f"{own}id": F.col(id_col).cast("long"), f"{own}from": F.col(source_col).cast("string"), f"{own}text": F.xxhash64(text)})
-    out = keyed.join(taken.hint("shuffle_hash"), same).withColumn(f"{own}n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}copies"))))
+    out = keyed.join(taken.hint("merge"), same).withColumn(f"{own}n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}copies"))))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

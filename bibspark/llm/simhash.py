@@ -250,6 +250,6 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kept = files.written(docs.sparkSession, kept, "kept")
     keyed = docs.withColumn(f"{own}key", row_key(id_col, text_col))
     # Rows that repeat a key are few wherever ids are ids; they meet after all others have gone.
-    out = keyed.join(kept.hint("shuffle_hash"), F.col(f"{own}key") == F.col(f"{own}kept"))
+    out = keyed.join(kept.hint("merge"), F.col(f"{own}key") == F.col(f"{own}kept"))
     once = F.row_number().over(Window.partitionBy(f"{own}key").orderBy(F.lit(0)))
     return out.withColumn(f"{own}n", once).filter(F.col(f"{own}n") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
