@@ -70,18 +70,21 @@ def isbn_digits(text: Column) -> Column:
 
 def is_isbn(text: Column) -> Column:
     """A valid ISBN-13 with prefix 978 or 979, or a valid ISBN-10."""
-    digits = isbn_digits(text)
 
-    def weighted(n: int, weight) -> Column:
-        total = F.lit(0)
-        for i in range(n):
-            total = total + F.coalesce(F.substring(digits, i + 1, 1).try_cast("int"), F.lit(0)) * weight(i)
-        return total
+    def valid(digits: Column) -> Column:
+        def weighted(n: int, weight) -> Column:
+            total = F.lit(0)
+            for i in range(n):
+                total = total + F.coalesce(F.substring(digits, i + 1, 1).try_cast("int"), F.lit(0)) * weight(i)
+            return total
 
-    last = F.when(F.upper(F.substring(digits, 10, 1)) == "X", 10).otherwise(F.coalesce(F.substring(digits, 10, 1).try_cast("int"), F.lit(0)))
-    long_ = digits.rlike("^97[89][0-9]{10}$") & (weighted(13, lambda i: 3 if i % 2 else 1) % 10 == 0)
-    short = digits.rlike("^[0-9]{9}[0-9Xx]$") & ((weighted(9, lambda i: 10 - i) + last) % 11 == 0)
-    return long_ | short
+        last = F.when(F.upper(F.substring(digits, 10, 1)) == "X", 10).otherwise(F.coalesce(F.substring(digits, 10, 1).try_cast("int"), F.lit(0)))
+        long_ = digits.rlike("^97[89][0-9]{10}$") & (weighted(13, lambda i: 3 if i % 2 else 1) % 10 == 0)
+        short = digits.rlike("^[0-9]{9}[0-9Xx]$") & ((weighted(9, lambda i: 10 - i) + last) % 11 == 0)
+        return long_ | short
+
+    # A lambda over an array of one binds the stripped text, so that it is stripped once and not for every digit.
+    return F.get(F.transform(F.array(isbn_digits(text)), valid), F.lit(0))
 
 
 def is_placeholder(value: Column) -> Column:
@@ -406,10 +409,11 @@ def distinct_folds(names: Column, fold: Column | None = None) -> Column:
     """Trimmed names that aren't blank, the first spelling of each; ``fold`` holds their folds in the same order, else lower case is compared."""
     clean = F.transform(names, trimmed)
     keys = F.transform(clean, F.upper) if fold is None else fold
-    rows = F.arrays_zip(clean.alias("n"), keys.alias("k"))
-    seen = F.filter(rows, lambda x: x["n"] != "")
-    first = F.filter(seen, lambda x, i: F.array_position(F.transform(seen, lambda y: y["k"]), x["k"]) == i + 1)
-    return F.transform(first, lambda x: x["n"])
+    rows = F.transform(F.arrays_zip(keys.alias("k"), clean.alias("n")), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["n"].alias("n")))
+    # Sorted by key and place, the first of each run of keys is its first spelling.
+    runs = F.array(F.array_sort(F.filter(rows, lambda x: x["n"] != "")))
+    first = F.transform(runs, lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"])))
+    return F.transform(F.array_sort(F.transform(F.get(first, F.lit(0)), lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n")))), lambda x: x["n"])
 
 
 def content_hash(title: Column, authors: Column, series: Column, series_number: Column, lang: Column, annotation: Column, publisher: Column, year: Column, rating: Column, genre_names: Column, identifiers: Column) -> Column:

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..schema import UNDEFINED_LANGUAGE
 from . import search
 
 Catalog = dict[str, DataFrame]
@@ -36,6 +37,14 @@ class Facet:
         return cls(text) if text else None
 
 
+def facet(raw: Column) -> Column:
+    """Facet.parse() over a column: struct<value, exact>, null where there is no facet."""
+    text = tx.trimmed(raw)
+    exact = text.startswith("=")
+    value = F.when(exact, tx.trimmed(F.substr(text, F.lit(2)))).otherwise(text)
+    return F.when(exact | (text != ""), F.struct(value.alias("value"), exact.alias("exact")))
+
+
 @dataclass(frozen=True)
 class BookFilter:
     """What a listing asks for; None constrains nothing, and all that is set must hold."""
@@ -87,7 +96,7 @@ def filtered(catalog: Catalog, want: BookFilter) -> DataFrame:
         files = catalog["book_files"].filter(F.col("file_format") == want.format)
         books = books.join(files.select(F.col("book_id").alias("id")), "id", "left_semi")
     if match := want.match():
-        scores = search.bm25(catalog["terms"], match).withColumnRenamed("doc_id", "id")
+        scores = search.bm25(catalog["terms"], match, sizes=catalog.get("sizes")).withColumnRenamed("doc_id", "id")
         books = books.join(scores, "id")
     return books
 
@@ -215,6 +224,28 @@ def books_by_language(catalog: Catalog) -> DataFrame:
     return catalog["books"].groupBy("language").agg(F.count("*").alias("book_count"))
 
 
+def shown_languages(counts: DataFrame, undefined: str = UNDEFINED_LANGUAGE) -> DataFrame:
+    """books_by_language() with ``place``, the order of display: the unknown language first, others by their code."""
+    order = Window.orderBy((F.col("language") != undefined).cast("int"), "language")  # a row a language
+    return counts.withColumn("place", F.row_number().over(order))
+
+
+def shown_formats(counts: DataFrame) -> DataFrame:
+    """books_by_format() with ``place``, the order of display: the commonest first, equals by name."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("book_count"), "file_format")))  # a row a format
+
+
+def other_groups(folds: DataFrame, column: str) -> DataFrame:
+    """(first, names): how many names stand under each first character outside the alphabet, the groups below '#'."""
+    outside = folds.filter(tx.bucket(F.col(column)) == tx.OTHER)
+    return outside.groupBy(F.substring(column, 1, 1).alias("first")).agg(F.count("*").alias("names"))
+
+
+def libraries_in_order(libraries: DataFrame) -> DataFrame:
+    """libraries with ``place``: the oldest first, equals by id; a catalogue has a handful."""
+    return libraries.withColumn("place", F.row_number().over(Window.orderBy("created_at", "id")))
+
+
 def libraries_with_count(catalog: Catalog) -> DataFrame:
     """Every library with its number of books, 0 included."""
     counts = catalog["books"].groupBy("library_id").agg(F.count("*").alias("book_count"))

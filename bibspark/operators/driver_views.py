@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from . import search
 from .browse import Catalog
 
@@ -55,7 +56,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     }
 
 
-def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The term table of documents, their language as title; the words asked for are plain, so no folding UDF is needed."""
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored index of documents, their language as title; the words asked for are plain, so no folding UDF is needed."""
+    path = f"{sf_dir}/documents.parquet"
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("title"), F.col("text").alias("annotation"))
-    return search.term_table(docs, ("title", "annotation"), id_col="doc_id", ascii_only=True)
+    terms = search.term_table(docs, ("title", "annotation"), id_col="doc_id", ascii_only=True)
+    return search.stored(spark, terms, f"{shared.shared_dir(spark)}/index/documents-{shared.state_of(spark, path)}")
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).terms

@@ -1,6 +1,7 @@
 """Full-text search over a term table, ranked by BM25.
 
-The index is derived from the catalogue: one row for each document, column and term with its places.  Phrases never leave a
+The index is derived from the catalogue: one row for each document, column and term with its places.  It is stored once for each
+state of what it indexes, in order of terms, so that Parquet statistics skip what a query doesn't ask for.  Phrases never leave a
 column; clauses are joined by AND over the whole document.  Figures of the collection are those of the whole index, so
 facets are applied to scores, not before them.
 """
@@ -11,12 +12,15 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("title", "authors", "series", "annotation")
 
@@ -89,27 +93,46 @@ def occurrences(terms: DataFrame, clause: Clause) -> DataFrame:
     return found.filter(F.size("places") > 0).groupBy("doc_id").agg(F.sum(F.size("places")).cast("long").alias("f"))
 
 
-def bm25(terms: DataFrame, match: list[Clause], docs: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A stored index: its term table, and (doc_id, d), the number of terms of each document."""
+
+    terms: DataFrame
+    sizes: DataFrame
+
+
+def sizes_of(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("doc_id").agg(F.sum(F.size("places")).alias("d"))
+
+
+def stored(spark: SparkSession, terms: DataFrame, uri: str) -> Index:
+    """The index at ``uri``, written there first unless it is there; name it by the state of what it indexes (shared.state_of)."""
+    table = shared.kept_as(spark, terms.repartitionByRange("term").sortWithinPartitions("term", "doc_id"), f"{uri}/terms")
+    return Index(table, shared.kept_as(spark, sizes_of(table), f"{uri}/sizes"))
+
+
+def bm25(terms: DataFrame, match: list[Clause], docs: DataFrame | None = None, *, sizes: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of the documents that match every clause; the best score is the least.
 
-    ``docs`` (doc_id) names all documents of the index where some may have no terms.
+    ``docs`` (doc_id) names all documents of the index where some may have no terms; ``sizes`` are stored ones.  Every clause's
+    hits are found once and meet by document, where both the scores and each clause's number of documents come from.
     """
-    sizes = terms.groupBy("doc_id").agg(F.sum(F.size("places")).alias("d"))
+    if not match:
+        return terms.filter(F.lit(False)).select("doc_id", F.lit(0.0).alias("score"))
+    sizes = sizes_of(terms) if sizes is None else sizes
     if docs is not None:
         sizes = docs.join(sizes, "doc_id", "left").select("doc_id", F.coalesce("d", F.lit(0)).alias("d"))
     whole = sizes.agg(F.count("*").alias("n_docs"), F.avg("d").alias("avgdl"))
-    found = None
-    for i, clause in enumerate(match):
-        hits = occurrences(terms, clause).withColumnRenamed("f", f"f{i}")
-        found = hits if found is None else found.join(hits, "doc_id")
-    if found is None:
-        return terms.filter(F.lit(False)).select("doc_id", F.lit(0.0).alias("score"))
-    found = found.join(sizes, "doc_id").join(F.broadcast(whole), F.lit(True))  # one row
+    every = [occurrences(terms, clause).select("doc_id", F.lit(i).alias("i"), "f") for i, clause in enumerate(match)]
+    hits = reduce(DataFrame.unionAll, every).groupBy("doc_id").agg(*(F.sum(F.when(F.col("i") == i, F.col("f"))).alias(f"f{i}") for i in range(len(match))))
+    numbers = hits.agg(*(F.count(f"f{i}").alias(f"n{i}") for i in range(len(match))))
+    both = [F.col(f"f{i}").isNotNull() for i in range(len(match))]
+    found = hits.filter(reduce(Column.__and__, both)).join(sizes, "doc_id")
+    found = found.join(F.broadcast(whole), F.lit(True)).join(F.broadcast(numbers), F.lit(True))  # one row each
     score = F.lit(0.0)
-    for i, clause in enumerate(match):
-        n = occurrences(terms, clause).agg(F.count("*").alias(f"n{i}"))
-        found = found.join(F.broadcast(n), F.lit(True))  # one row
-        idf = F.log((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+    for i in range(len(match)):
+        n = F.col(f"n{i}")
+        idf = F.log((F.col("n_docs") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         score = score - idf * (F.col(f"f{i}") * (K1 + 1)) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))
     return found.select("doc_id", score.alias("score"))

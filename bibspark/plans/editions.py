@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import graph
+from .. import graph, shared
 from ..functions import identity as idt
 from ..functions import text as tx
+from ..ranks import ranked
 from ..schema import MANUAL_COVER, UNDEFINED_LANGUAGE
 
 #: How much a format's metadata is trusted.
@@ -50,29 +51,13 @@ def resolve(pairs: DataFrame) -> DataFrame:
     Large and small stars alternate until nothing changes, in a number of rounds that grows with the logarithm of the largest
     component in any order of its records.  Each round is checkpointed; the driver sees two numbers.
     """
-    spark: SparkSession = pairs.sparkSession
-    _ensure_checkpoint_dir(spark)
+    shared.shared_dir(pairs.sparkSession)  # where checkpoints go
     pairs = pairs.select("id", "other").checkpoint()
     roots = graph.components(pairs.select(F.col("id").alias("u"), F.col("other").alias("v")), lambda now: now.checkpoint())
     every = pairs.select("id").unionAll(pairs.select("other")).distinct()
     return every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("book"))
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder if it names one; a temporary one only where Spark runs in one process."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="bibspark-")
-    sc.setCheckpointDir(named)
-
-
 # ---- ordered merge ---------------------------------------------------------------------------------------------------
 
 _BOOK = (
@@ -151,15 +136,24 @@ def first_names(names: DataFrame, *, fold: str = "name_fold", name: str = "name"
 def upserted(existing: DataFrame, names: DataFrame) -> DataFrame:
     """(id, name, name_fold): existing rows as they are, and new folds with new ids in order of arrival.
 
-    ``names`` has name, name_fold and arrival.  New ids follow the largest one; they come from one sort of the new folds alone.
+    ``names`` has name, name_fold and arrival.  New ids follow the largest one; they are places of the new folds alone, dealt in ranges.
     """
     new = names.groupBy("name_fold").agg(F.min_by("name", F.struct("arrival", "name")).alias("name"), F.min("arrival").alias("arrival"))
     new = new.join(existing.select("name_fold"), "name_fold", "left_anti")
     spark = existing.sparkSession
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ordered = new.orderBy("arrival", "name_fold").select("name", "name_fold")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (top + 1 + x[1], x[0][0], x[0][1]))
-    return existing.select("id", "name", "name_fold").unionByName(spark.createDataFrame(numbered, "id bigint, name string, name_fold string"))
+    numbered = ranked(new, [F.asc("arrival"), F.asc("name_fold")], lambda df: shared.kept(spark, df, "names"))
+    return existing.select("id", "name", "name_fold").unionByName(numbered.select((F.col("place") + 1 + top).alias("id"), "name", "name_fold"))
+
+
+def arrived(editions: DataFrame, now: int) -> DataFrame:
+    """editions with added_at, the source's date or else the run's time, and imported_at, the run's time; a merge keeps a book's first."""
+    return editions.withColumns({"added_at": F.when(F.col("added_at") > 0, F.col("added_at")).otherwise(now), "imported_at": F.lit(now).cast("long")})
+
+
+def native_key(kind: str, native_id: Column) -> Column:
+    """The key of a book that its source names itself; such books are never matched by identifiers."""
+    return F.concat(F.lit(f"{kind}:"), native_id.cast("string"))
 
 
 def linked(book_names: DataFrame, entities: DataFrame, kind: str) -> DataFrame:

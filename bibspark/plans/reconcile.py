@@ -7,6 +7,7 @@ new one.  Row changes (insert, update, upsert, delete, cascade) are joins from t
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ def must_run(stored: str | None, now: str | None, force: bool = False) -> bool:
     return force or not now or stored != now
 
 
+def gate(stored: Column, now: Column, force: Column) -> Column:
+    """must_run() over columns: whether each library must be read."""
+    return force | F.coalesce(now == "", F.lit(True)) | ~stored.eqNullSafe(now)
+
+
 def file_diff(known: DataFrame, found: DataFrame, *, key: list[str]) -> DataFrame:
     """(key..., change): 'same' needs no parsing, 'changed' and 'new' do, 'gone' is to be dropped."""
     old = known.select(*key, F.col("file_size").alias("old_size"), F.col("mtime").alias("old_mtime"), F.lit(True).alias("old"))
@@ -45,6 +51,39 @@ def pruned(files: DataFrame, seen: DataFrame, *, key: list[str]) -> DataFrame:
     return files.join(seen.select(*key).distinct(), key, "left_semi")
 
 
+def moved(known: DataFrame, grouped: DataFrame, *, path: str = "source_path", book: str = "book_id") -> DataFrame:
+    """Known rows whose file the run now groups under another book: the old rows go, or else the file would stand twice."""
+    now = grouped.groupBy(path).agg(F.max(book).alias("__now"))
+    return known.join(now, path).filter(F.col("__now") != F.col(book)).drop("__now")
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a run over one library found: the files to parse, the rows that stay, the books left empty, and its counters."""
+
+    diff: DataFrame
+    parse: DataFrame
+    files: DataFrame
+    emptied: DataFrame
+    counts: DataFrame
+
+
+def run(known: DataFrame, found: DataFrame, grouped: DataFrame | None = None, *, path: str = "source_path", book: str = "book_id") -> Run:
+    """One run of a library that the gate let through: diff, then prune, then count.
+
+    known (path, book, file_size, mtime) are its stored files, found (path, file_size, mtime) those that are there, and grouped (path,
+    book) the books under which the run files them, for files that it parsed.
+    """
+    diff = file_diff(known, found, key=[path])
+    parse = found.join(diff.filter("change in ('new', 'changed')").select(path), path, "left_semi")
+    files = pruned(known, found, key=[path])
+    if grouped is not None:
+        files = files.join(moved(known, grouped, path=path, book=book).select(path), path, "left_anti")
+        files = files.select(path, book).unionByName(grouped.select(path, book).join(files.select(path), path, "left_anti"))
+    emptied = known.select(book).distinct().join(files.select(book), book, "left_anti")
+    return Run(diff, parse, files, emptied, counters(diff))
+
+
 def present(records: DataFrame, entries: DataFrame) -> DataFrame:
     """Records whose archive is there and holds their entry; entries are (archive, entry)."""
     return records.join(entries, ["archive", "entry"], "left_semi")

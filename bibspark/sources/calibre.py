@@ -1,8 +1,18 @@
-"""A Calibre-style library: a SQLite file read by a Python data source, one partition for each table asked for."""
+"""A Calibre-style library: a SQLite file read by a Python data source.
+
+Tables are read in ranges of row numbers, a partition each.  A path that this machine has is opened in place, read-only; any
+other URI is fetched once a worker, so executors need no copy of their own.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
+import re
+import shutil
 import sqlite3
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import identity as idt
 from ..functions import text as tx
+from ..plans.editions import native_key
 
 #: Tables and the columns read of each.
 TABLES = {
@@ -41,22 +52,52 @@ def _value(kind: str, x):
     return int(x) if kind == "long" else float(x)
 
 
+_FETCHED: dict[str, str] = {}
+
+
+def _local(path: str) -> str:
+    """A path that sqlite3 can open: the file itself, or a copy that goes with the process."""
+    plain = re.sub("^file:(//)?", "", path)
+    if "://" not in plain:
+        return plain
+    if path not in _FETCHED:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(at) as data, tempfile.NamedTemporaryFile(suffix=".db", delete=False) as copy:
+            shutil.copyfileobj(data, copy)
+        atexit.register(os.unlink, copy.name)
+        _FETCHED[path] = copy.name
+    return _FETCHED[path]
+
+
+def _open(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{_local(path)}?mode=ro", uri=True)
+
+
+class _Rows(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str, columns: list[tuple[str, str]]):
-        self.path, self.table, self.columns = path, table, columns
+    def __init__(self, path: str, table: str, columns: list[tuple[str, str]], rows: int):
+        self.path, self.table, self.columns, self.rows = path, table, columns, rows
 
     def partitions(self):
-        return [InputPartition(0)]
+        with contextlib.closing(_open(self.path)) as db:
+            low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {self.table}").fetchone()
+        return [_Rows(at, min(high, at + self.rows - 1)) for at in range(low, high + 1, self.rows)] or [_Rows(0, -1)]
 
     def read(self, partition):
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            rows = db.execute(f"SELECT {', '.join(n for n, _ in self.columns)} FROM {self.table}")
+        with contextlib.closing(_open(self.path)) as db:
+            rows = db.execute(f"SELECT {', '.join(n for n, _ in self.columns)} FROM {self.table} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
             while got := rows.fetchmany(10_000):
                 yield pa.RecordBatch.from_arrays([pa.array([_value(k, r[i]) for r in got], _KINDS[k]) for i, (_, k) in enumerate(self.columns)], names=[n for n, _ in self.columns])
 
 
 class SqliteSource(DataSource):
-    """``spark.read.format("sqlite").option("path", ...).option("table", ...)``; ``columns`` as 'name type, ...' for other tables."""
+    """``spark.read.format("sqlite").option("path", ...).option("table", ...)``; ``columns`` as 'name type, ...' for other tables, ``rows`` of a partition."""
 
     @classmethod
     def name(cls):
@@ -67,7 +108,7 @@ class SqliteSource(DataSource):
 
     def reader(self, schema):
         spec = self.schema()
-        return _Reader(self.options["path"], self.options["table"], [tuple(c.split()) for c in spec.split(", ")])
+        return _Reader(self.options["path"], self.options["table"], [tuple(c.split()) for c in spec.split(", ")], int(self.options.get("rows", 100_000)))
 
 
 def table(spark: SparkSession, path: str, name: str, columns: str | None = None) -> DataFrame:
@@ -112,7 +153,7 @@ def editions(tables: dict[str, DataFrame], library_id: int, pages: DataFrame | N
     ending = F.lower("format")
     return rows.select(
         F.lit(library_id).cast("long").alias("library_id"),
-        F.concat(F.lit("calibre:"), F.col("book").cast("string")).alias("library_key"),
+        native_key("calibre", F.col("book")).alias("library_key"),
         F.lit(False).alias("derive_identity"),
         "title",
         "authors",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The quiet time before a change counts, and the least time between two progress reports.
@@ -36,14 +37,33 @@ def queued(requests: DataFrame, key: str, *, seq: str = "seq", force: str = "for
 
 
 def throttled(events: DataFrame, key: str, *, ms: str = "ms", every: int = PROGRESS_MS) -> DataFrame:
-    """(key, ms): of each key's events those reported: the first, and each one at least ``every`` after the last reported."""
-    times = events.groupBy(key).agg(F.sort_array(F.collect_list(ms)).alias("t"))
+    """(key, ms): of each key's events those reported: the first, and each one at least ``every`` after the last reported.
 
-    def step(acc: Column, t: Column) -> Column:
-        due = (F.size(acc) == 0) | (t >= F.get(acc, F.size(acc) - 1) + every)
-        return F.when(due, F.concat(acc, F.array(t))).otherwise(acc)
-
-    return times.select(key, F.explode(F.aggregate("t", F.array().cast("array<bigint>"), step)).alias(ms))
+    A key's events pass a task in order of time, with one number kept between them, so a hot key costs time but no memory; from
+    one report the next is found by bisection.
+    """
+    names = {key: dict(events.dtypes)[key], ms: "bigint"}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None  # (key, time last reported)
+        for frame in frames:
+            keys, times = frame[key], frame[ms].to_numpy()
+            cuts = np.flatnonzero((keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).to_numpy())
+            cuts = cuts if len(cuts) and cuts[0] == 0 else np.concatenate([[0], cuts])
+            out: list[int] = []
+            for low, high in zip(cuts, [*cuts[1:], len(times)], strict=True):
+                if low == high:
+                    continue
+                now = None if pd.isna(keys.iloc[low]) else keys.iloc[low]
+                at = low + (int(np.searchsorted(times[low:high], last[1] + every)) if last is not None and last[0] == now else 0)
+                while at < high:
+                    out.append(at)
+                    last = (now, times[at])
+                    at += int(np.searchsorted(times[at:high], times[at] + every))
+            yield frame.iloc[out]
+
+    rows = events.select(F.col(key), F.col(ms).cast("bigint").alias(ms)).filter(F.col(ms).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, ms).mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in names.items()))
 
 
 def throttled_stream(events: DataFrame, key: str, *, ms: str = "ms", every: int = PROGRESS_MS) -> DataFrame:
@@ -69,6 +89,25 @@ def coalesced_stream(events: DataFrame, key: str, *, seq: str = "seq", data: str
     return events.filter(F.col(key) != "").groupBy(key).agg(F.min(seq).alias("place"), F.max_by(data, seq).alias(data))
 
 
+def watched(spark: SparkSession, folder: str, *, glob: str = "*", files_a_batch: int | None = None) -> DataFrame:
+    """A stream of (path, dir, mtime, size) of files as they appear in a folder and its subfolders, new ones too.
+
+    Only names, times and sizes are read.  Give debounced() the stream with a watermark on mtime to start one run for a burst of
+    changes; ``files_a_batch`` bounds a trigger.
+    """
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    reader = reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader
+    return reader.load(folder).select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def served(queue: DataFrame, *, place: str = "place", seconds: str = "seconds") -> DataFrame:
+    """queue with ``start`` and ``end`` in seconds: one job at a time in order of place.  A queue has a row a library."""
+    order = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(seconds).over(order)
+    return queue.withColumns({"start": end - F.col(seconds), "end": end})
+
+
 def interval_changes(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """(library_id, change) between jobs (library_id, every) that should run and that do."""
     both = wanted.withColumnRenamed("every", "new").join(have.withColumnRenamed("every", "old"), "library_id", "full")

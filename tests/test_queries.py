@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from bibspark import queries
+from bibspark import more_queries, queries  # more_queries registers its own with the others
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,7 +31,7 @@ def cells(rows):
     return sorted(tuple(map(cell, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(more_queries.QUERIES))
 def test_query(spark, db, name):
     got = queries.QUERIES[name](spark, str(DATA))
     want = db.execute(queries.ORACLE_SQL[name])
@@ -57,7 +57,7 @@ def test_resolution_of_all_orders(spark, tmp_path):
     least = {}
     for k in keys:
         least.setdefault(find(k), k)  # keys ascend
-    got = {r.id: r.book for r in queries.resolve_all_identifiers(spark, str(tmp_path)).collect()}
+    got = {r.id: r.book for r in queries.resolve_identifiers(spark, str(tmp_path)).collect()}
     assert got == {k: least[find(k)] for k in keys} and len(set(got.values())) > 1
 
 
