@@ -301,15 +301,18 @@ def _by_bucket(texts: DataFrame, classes: np.ndarray, n_classes: int, finish, sc
     shared = spark.sparkContext.broadcast(_small(classes, n_classes))
     kind = np.uint32 if n_buckets * rows * width < 1 << 32 else np.uint64
 
+    bounds = (np.arange(n_buckets, dtype=np.uint64) * (rows * width)).astype(kind)
+
     def sums(held):
         keys = np.concatenate(held)
+        held.clear()
         keys.sort()
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        seen, keys = np.diff(np.append(first, len(keys))), keys[first].astype(np.int64)
-        cuts = np.searchsorted(keys, np.arange(n_buckets + 1) * rows * width)
+        seen, keys = np.diff(first, append=len(keys)).astype(np.uint32), keys[first]
+        cuts = np.append(np.searchsorted(keys, bounds), len(keys))
         some = [b for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
-        part = lambda x, b: x[cuts[b] : cuts[b + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_planes(np.diff(part(keys, b), prepend=b * rows * width)) for b in some], pa.binary()), pa.array([_planes(part(seen, b)) for b in some], pa.binary())], names=["bucket", "keys", "seen"])
+        steps = [_planes(np.diff(keys[cuts[b] : cuts[b + 1]].astype(np.int64), prepend=b * rows * width)) for b in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(steps, pa.binary()), pa.array([_planes(seen[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], names=["bucket", "keys", "seen"])
 
     def count(batches):
         of, held, size = shared.value, [], 0
