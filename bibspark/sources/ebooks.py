@@ -1,4 +1,4 @@
-"""Metadata of book files: EPUB, FB2 (plain or zipped), MOBI family and, in part, PDF.
+"""Metadata of book files: EPUB, FB2 (plain or zipped), MOBI family and PDF.
 
 Files come from Spark's binaryFile reader and are parsed in Arrow batches; a file that can't be parsed yields null.  Reads
 are bounded: structural text at 64 MiB, covers at 10 MiB.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SHOWN, WHITE
 from ..schema import METADATA
+from . import pdf as pdf_file
 
 TEXT_MOST, COVER_MOST = 64 << 20, 10 << 20
 #: Endings and formats, the longest ending first.
@@ -271,28 +272,18 @@ def mobi(data: bytes) -> Metadata:
 # ---- PDF -------------------------------------------------------------------------------------------------------------
 
 
-def _pdf_string(data: bytes, key: bytes) -> str:
-    found = re.search(rb"/" + key + rb"\s*(\((?:\\.|[^()\\])*\)|<[0-9A-Fa-f\s]*>)", data, re.S)
-    if not found:
-        return ""
-    raw = found[1]
-    if raw.startswith(b"<"):
-        digits = re.sub(rb"\s", b"", raw[1:-1])
-        body = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        body = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(m[1], m[1]), raw[1:-1], flags=re.S)
-    return (body[2:].decode("utf-16-be", "replace") if body.startswith(b"\xfe\xff") else body.decode("latin-1")).strip(WHITE)
-
-
 def pdf(data: bytes) -> Metadata:
-    """Info strings and the page count as far as they stand in plain objects; compressed object streams and covers aren't read."""
-    if not data.startswith(b"%PDF-"):
-        raise ValueError("not a PDF")
-    out = _blank()
-    out["pages"] = len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data))
-    out["title"], out["annotation"] = _pdf_string(data, b"Title"), _pdf_string(data, b"Subject")
-    out["authors"] = [a] if (a := _pdf_string(data, b"Author")) else []
-    out["year"] = _year(_pdf_string(data, b"CreationDate"))
+    """Info strings, the page count and the first picture of page one; without a trailer, an object that has a title is the info."""
+    doc, out = pdf_file.Document(data), _blank()
+    out["pages"] = pdf_file.page_count(doc)
+    info = doc.entry("Info")
+    if not doc.trailers:
+        info = next((d for n in sorted(doc.places) if isinstance(d := doc.object(n), dict) and {"Title", "Author"} & d.keys()), {})
+    of = lambda key: pdf_file.text(doc, info, key).strip(WHITE)
+    out["title"], out["annotation"], out["year"] = of("Title"), of("Subject"), _year(of("CreationDate"))
+    out["authors"] = [a] if (a := of("Author")) else []
+    picture = pdf_file.cover(doc)
+    out["cover"] = picture if picture and len(picture) <= COVER_MOST else None
     return out
 
 

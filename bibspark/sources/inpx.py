@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pandas as pd
@@ -38,20 +39,40 @@ def index_lines(bundles: DataFrame) -> DataFrame:
 
 
 def archive_entries(archives: DataFrame) -> DataFrame:
-    """(archive, entry) of binaryFile rows of ZIP archives; a broken archive has none."""
+    """(archive, entry) of ZIP archives named in column path; a broken archive has none.
+
+    Only an archive's directory is read, at its end, by seeking in the file; where rows carry the column content it is taken
+    from there, for stores that nothing but Spark's readers reaches.
+    """
+    from pyarrow import fs
+
+    whole = "content" in archives.columns
+
+    def names(source) -> list[str]:
+        with zipfile.ZipFile(source) as z:
+            return z.namelist()
 
     def run(batches):
         for frame in batches:
             rows = []
-            for path, data in zip(frame["path"], frame["content"], strict=True):
+            for i, path in enumerate(frame["path"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        rows += [(path.rpartition("/")[2], n) for n in z.namelist()]
+                    if whole:
+                        found = names(io.BytesIO(frame["content"].iloc[i]))
+                    else:
+                        system, at = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+                        with system.open_input_file(at) as f:
+                            found = names(f) if f.size() >= 22 else []  # less than the end of a directory
                 except zipfile.BadZipFile:
                     continue
+                rows += [(path.rpartition("/")[2], n) for n in found]
             yield pd.DataFrame(rows, columns=["archive", "entry"])
 
-    return archives.select("path", "content").mapInPandas(run, "archive string, entry string")
+    return archives.select("path", *["content"] * whole).mapInPandas(run, "archive string, entry string")
+
+
+#: Stores whose files can be sought in; of others Spark's reader hands over whole archives.
+SOUGHT = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
 
 
 def _optional(fields: Column, name: str) -> Column:
@@ -88,5 +109,7 @@ def editions(lines: DataFrame, library_id: int) -> DataFrame:
 def read(spark: SparkSession, bundle: str, archives: str, library_id: int) -> DataFrame:
     """Editions of a bundle whose archive entry is there."""
     lines = index_lines(spark.read.format("binaryFile").load(bundle))
-    there = archive_entries(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(archives))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(archives)
+    sought = ("://" not in archives and not archives.startswith("viewfs:")) or archives.split(":")[0] in SOUGHT
+    there = archive_entries(found.select("path") if sought else found)
     return editions(lines, library_id).join(there, ["archive", "entry"], "left_semi")

@@ -36,33 +36,47 @@ def queued(requests: DataFrame, key: str, *, seq: str = "seq", force: str = "for
     return requests.groupBy(key).agg(F.min(seq).alias("place"), F.bool_or(force).alias("force"))
 
 
-def throttled(events: DataFrame, key: str, *, ms: str = "ms", every: int = PROGRESS_MS) -> DataFrame:
+def throttled(events: DataFrame, key: str, *, ms: str = "ms", every: int = PROGRESS_MS, at_once: str | None = None, flush: bool = False) -> DataFrame:
     """(key, ms): of each key's events those reported: the first, and each one at least ``every`` after the last reported.
 
-    A key's events pass a task in order of time, with one number kept between them, so a hot key costs time but no memory; from
+    Events whose column ``at_once`` is true are reported whatever the time and count as the last reported; ``flush`` reports each
+    key's last event as well, once.  A key's events pass a task in order of time, with one number kept between them, so a hot key costs time but no memory; from
     one report the next is found by bisection.
     """
     names = {key: dict(events.dtypes)[key], ms: "bigint"}
+    urgent = F.lit(False) if at_once is None else F.coalesce(F.col(at_once), F.lit(False))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # (key, time last reported)
+        now, last, seen, held = None, None, None, []  # key, time last reported, time last seen, rows to send
+
+        def ended() -> list[tuple]:
+            return [(now, seen)] if flush and seen is not None and seen != last else []
+
         for frame in frames:
-            keys, times = frame[key], frame[ms].to_numpy()
-            cuts = np.flatnonzero((keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).to_numpy())
-            cuts = cuts if len(cuts) and cuts[0] == 0 else np.concatenate([[0], cuts])
-            out: list[int] = []
-            for low, high in zip(cuts, [*cuts[1:], len(times)], strict=True):
+            keys, times, forced = frame[key], frame[ms].to_numpy(), np.flatnonzero(frame["__now"].to_numpy())
+            same = keys.eq(keys.shift()) | (keys.isna() & keys.shift().isna())
+            starts = np.union1d([0], np.flatnonzero(~same.to_numpy())).astype(int)
+            for low, high in zip(starts, [*starts[1:], len(times)], strict=True):
                 if low == high:
                     continue
-                now = None if pd.isna(keys.iloc[low]) else keys.iloc[low]
-                at = low + (int(np.searchsorted(times[low:high], last[1] + every)) if last is not None and last[0] == now else 0)
+                of = None if pd.isna(keys.iloc[low]) else keys.iloc[low]
+                if seen is None or of != now:
+                    held += ended()
+                    now, last = of, None
+                at = low
                 while at < high:
-                    out.append(at)
-                    last = (now, times[at])
-                    at += int(np.searchsorted(times[at:high], times[at] + every))
-            yield frame.iloc[out]
-
-    rows = events.select(F.col(key), F.col(ms).cast("bigint").alias(ms)).filter(F.col(ms).isNotNull())
+                    due = at if last is None else low + int(np.searchsorted(times[low:high], last + every))
+                    soon = int(np.searchsorted(forced, at))
+                    at = min(max(due, at), forced[soon] if soon < len(forced) else high, high)
+                    if at < high:
+                        held.append((now, times[at]))
+                        last, at = times[at], at + 1
+                seen = times[high - 1]
+            yield pd.DataFrame(held, columns=[key, ms]).astype({ms: "int64"})
+            held = []
+        yield pd.DataFrame(ended(), columns=[key, ms]).astype({ms: "int64"})
+
+    rows = events.select(F.col(key), F.col(ms).cast("bigint").alias(ms), urgent.alias("__now")).filter(F.col(ms).isNotNull())
     return rows.repartition(key).sortWithinPartitions(key, ms).mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in names.items()))
 
 

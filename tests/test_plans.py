@@ -168,3 +168,27 @@ def test_snapshots(spark, tmp_path):
 @pytest.mark.parametrize(("fmt", "prio"), [("EPUB", 4), ("fb2", 3), ("azw3", 2), ("pdf", 1), ("txt", 0)])
 def test_format_priority(spark, fmt, prio):
     assert spark.range(1).select(ed.format_priority(F.lit(fmt))).first()[0] == prio
+
+
+def test_resolution_of_a_long_chain(spark):
+    """A chain of 10,000 records in no order settles on its least, in few rounds."""
+    import random
+
+    n = 10_000
+    order = list(range(n))
+    random.Random(7).shuffle(order)
+    links = [(order[i], order[i + 1]) for i in range(n - 1)]
+    found = ed.resolve(spark.createDataFrame([*links, (n + 5, n + 5)], "id long, other long"))
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(n)} | {(n + 5, n + 5)}
+
+
+def test_run_of_a_library(spark):
+    """New, changed, gone, moved and unchanged files, and the books that a run leaves empty."""
+    known = spark.createDataFrame([("a", 1, 10, 1), ("b", 1, 10, 1), ("c", 2, 10, 1), ("d", 3, 10, 1)], "source_path string, book_id long, file_size long, mtime long")
+    found = spark.createDataFrame([("a", 10, 1), ("b", 11, 1), ("d", 12, 1), ("e", 5, 1)], "source_path string, file_size long, mtime long")
+    grouped = spark.createDataFrame([("b", 1), ("d", 9), ("e", 9)], "source_path string, book_id long")
+    run = rc.run(known, found, grouped)
+    assert sorted(r.source_path for r in run.parse.collect()) == ["b", "d", "e"]
+    assert sorted(map(tuple, run.files.collect())) == [("a", 1), ("b", 1), ("d", 9), ("e", 9)]
+    assert sorted(r.book_id for r in run.emptied.collect()) == [2, 3] and tuple(run.counts.first()) == (1, 1, 2, 1)
+    assert sorted(map(tuple, rc.run(known, found).files.select("source_path", "book_id").collect())) == [("a", 1), ("b", 1), ("d", 3)]

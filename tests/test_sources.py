@@ -5,6 +5,7 @@ import io
 import sqlite3
 import struct
 import zipfile
+import zlib
 
 import pytest
 
@@ -80,6 +81,39 @@ def test_pdf():
     assert (m["pages"], m["title"], m["authors"], m["year"]) == (1, "A (b)", ["A"], 2003)
 
 
+def packed_pdf():
+    """A PDF whose catalogue, pages and info stand in an object stream, with a cross-reference stream for a trailer."""
+    info = "<</Title <FEFF041A04420435> /Author (An\\\\n \\(B\\)) /Subject (About) /CreationDate (D:19991231)>>"
+    objects = {1: "<</Type/Catalog/Pages 2 0 R>>", 2: "<</Type/Pages/Kids[3 0 R 4 0 R]/Count 2/Resources<</XObject<</A 9 0 R/B 8 0 R/M 7 0 R>>>>>>", 3: "<</Type/Page/Parent 2 0 R>>", 4: "<</Type/Page/Parent 2 0 R>>", 5: info}
+    body, heads = "", []
+    for number, text in objects.items():
+        heads += [str(number), str(len(body))]
+        body += text + " "
+    head = " ".join(heads) + " "
+    packed = zlib.compress((head + body).encode())
+    stream = lambda n, entries, data: b"%d 0 obj <<%s/Length %d>>stream\n%s\nendstream endobj\n" % (n, entries, len(data), data)
+    out = b"%PDF-1.5\n" + stream(6, b"/Type/ObjStm/N 5/First %d/Filter/FlateDecode" % len(head), packed)
+    out += stream(7, b"/Subtype/Image/ImageMask true/Filter/DCTDecode", b"mask") + stream(8, b"/Subtype/Image/Filter/DCTDecode", b"\xff\xd8jpeg endobj 1 0 obj") + stream(9, b"/Subtype/Image/Filter/DCTDecode", b"later")
+    return out + stream(10, b"/Type/XRef/Root 1 0 R/Info 5 0 R", b"")
+
+
+def test_pdf_in_object_streams():
+    m = ebooks.pdf(packed_pdf())
+    assert (m["pages"], m["title"], m["authors"], m["annotation"], m["year"], m["cover"]) == (2, "Кте", ["An\\n (B)"], "About", 1999, b"\xff\xd8jpeg endobj 1 0 obj")
+
+
+def test_pdf_plain_pixels_and_updates():
+    pixels = bytes(range(12))
+    rows = b"".join(b"\x02" + bytes((pixels[6 * r + i] - (pixels[6 * (r - 1) + i] if r else 0)) & 255 for i in range(6)) for r in range(2))
+    image = zlib.compress(rows)
+    data = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Kids[3 0 R]>>endobj 3 0 obj<</Resources 4 0 R>>endobj 4 0 obj<</XObject<</I 5 0 R>>>>endobj 6 0 obj<</Title(old)>>endobj\n"
+    data += b"5 0 obj<</Subtype/Image/Width 2/Height 2/BitsPerComponent 8/ColorSpace/DeviceRGB/Filter/FlateDecode/DecodeParms<</Predictor 12/Colors 3/Columns 2>>/Length %d>>stream\n%s\nendstream endobj\ntrailer<</Root 1 0 R/Info 6 0 R>>\n6 0 obj<</Title(new)>>endobj" % (len(image), image)
+    m = ebooks.pdf(data)
+    assert (m["pages"], m["title"]) == (1, "new") and m["cover"].startswith(b"\x89PNG")
+    body = m["cover"][m["cover"].index(b"IDAT") + 4 :]
+    assert zlib.decompress(body[:-16]) == b"\0" + pixels[:6] + b"\0" + pixels[6:]
+
+
 @pytest.mark.parametrize("path", ["a.epub", "b.fb2", "c.mobi", "d.pdf", "e.fb2.zip", "f.txt"])
 def test_broken_files_are_null(path):
     assert ebooks.parse_file(path, b"not a book") is None

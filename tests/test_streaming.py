@@ -41,6 +41,46 @@ def test_throttle(spark):
     assert sorted(map(tuple, ev.throttled(rows, "k").collect())) == [("a", 0), ("a", 250), ("a", 501), ("a", 800), ("b", 5)]
 
 
+def test_throttle_at_once_flush_and_many_keys(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]) if i % 3 else "hot", rng.randrange(40_000), rng.random() < 0.02) for i in range(3000)]
+    events = spark.createDataFrame(rows, "k string, ms long, total boolean")
+    for every in (1, 250, 5000):
+        want = []
+        for k in ("a", "b", None, "hot"):
+            last, own = None, sorted((t, u) for x, t, u in rows if x == k)
+            for t, u in own:
+                if last is None or u or t >= last + every:
+                    want.append((k, t))
+                    last = t
+            if own[-1][0] != last:
+                want.append((k, own[-1][0]))
+        got = [tuple(r) for r in ev.throttled(events, "k", every=every, at_once="total", flush=True).collect()]
+        assert sorted(set(got), key=str) == sorted(set(want), key=str)
+    assert ev.throttled(events.limit(0), "k").count() == 0
+
+
+def test_watch_sees_new_folders(spark, tmp_path):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    (tmp_path / "in" / "a" / "1.fb2").write_text("x")
+    start = lambda: ev.watched(spark, f"file://{tmp_path}/in", glob="*.fb2").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    seen = lambda: sorted(r.path.rpartition("/in/")[2] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    start()
+    assert seen() == ["a/1.fb2"]
+    (tmp_path / "in" / "b" / "c").mkdir(parents=True)
+    (tmp_path / "in" / "b" / "c" / "2.fb2").write_text("xy")
+    (tmp_path / "in" / "b" / "note.txt").write_text("x")
+    start()
+    assert seen() == ["a/1.fb2", "b/c/2.fb2"]
+
+
+def test_serve_one_at_a_time(spark):
+    rows = spark.createDataFrame([("x", 3, 5), ("y", 1, 2), ("z", 9, 1)], "lib string, place long, seconds long")
+    assert sorted((r.lib, r.start, r.end) for r in ev.served(rows).collect()) == [("x", 2, 7), ("y", 0, 2), ("z", 7, 8)]
+
+
 def test_throttle_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", t) for t in (0, 100, 249, 250, 400, 501, 800)] + [("b", 5)], "k string, ms long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
