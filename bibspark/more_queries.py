@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import sqlite3
+import struct
 import tempfile
 import uuid
 import zipfile
@@ -278,11 +279,12 @@ def sqlite_editions(spark, sf_dir):
     return found.select("library_key", "title", F.array_join("authors", "|").alias("authors"), "series", "series_number", "language", "year", "pages", "rating", "added_at", "source_path", "file_size", "arrival")
 
 
-def _epub(title: str, year: int) -> bytes:
+def _epub(title: str, year: int, cover: int) -> bytes:
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("c.jpg", b"x" * cover)
         z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="c.opf"/></rootfiles></container>')
-        z.writestr("c.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Saga - 2 - {title}</dc:title><dc:creator>Ann Lee</dc:creator><dc:language>en</dc:language><dc:date>{year}</dc:date><dc:description>About {title}</dc:description><meta name="calibre:series" content="Saga"/><meta name="calibre:series_index" content="2"/></metadata></package>')
+        z.writestr("c.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Saga - 2 - {title}</dc:title><dc:creator>Ann Lee</dc:creator><dc:language>en</dc:language><dc:date>{year}</dc:date><dc:description>About {title}</dc:description><meta name="calibre:series" content="Saga"/><meta name="calibre:series_index" content="2"/><meta name="cover" content="c"/></metadata><manifest><item id="c" href="c.jpg" media-type="image/jpeg"/></manifest></package>')
     return out.getvalue()
 
 
@@ -290,6 +292,19 @@ def _fb2(title: str, year: int) -> bytes:
     return f'<?xml version="1.0" encoding="utf-8"?><FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"><description><title-info><genre>sf</genre><author><first-name>Ann</first-name><last-name>Lee</last-name></author><book-title>{title}</book-title><annotation><p>About <emphasis>{title}</emphasis> &amp; <odd>more</odd></p><empty-line/></annotation><lang>ru</lang><sequence name="Saga" number="2"/></title-info><publish-info><year>{year}</year></publish-info></description></FictionBook>'.encode()
 
 
+def _mobi(title: str, year: int) -> bytes:
+    extra = [(100, b"Ann Lee"), (103, f"About {title}".encode()), (106, str(year).encode()), (503, title.encode()), (524, b"en")]
+    body = b"".join(struct.pack(">II", k, len(v) + 8) + v for k, v in extra)
+    head = bytearray(248)
+    head[16:20] = b"MOBI"
+    for at, number in ((20, 232), (28, 65001), (128, 0x40)):
+        struct.pack_into(">I", head, at, number)
+    record = bytes(head) + b"EXTH" + struct.pack(">II", 12 + len(body), len(extra)) + body
+    struct_title = struct.pack(">II", len(record), len(title))
+    record = record[:84] + struct_title + record[92:] + title.encode()
+    return bytes(76) + struct.pack(">H", 1) + struct.pack(">II", 86, 0) + record
+
+
 def _zipped(name: str, data: bytes) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -298,19 +313,22 @@ def _zipped(name: str, data: bytes) -> bytes:
 
 
 @query("""
-SELECT n_nationkey AS k, ['epub', 'fb2', 'fb2', 'pdf'][n_nationkey % 6 + 1] AS file_format, n_name AS title, 'Ann Lee' AS authors, CASE WHEN n_nationkey % 6 < 3 THEN 'Saga' ELSE '' END AS series, 1990 + n_nationkey AS year,
-       CASE n_nationkey % 6 WHEN 0 THEN 'About ' || n_name WHEN 3 THEN '' ELSE '<p>About <em>' || n_name || '</em> &amp; more</p><br/>' END AS annotation
-FROM nation WHERE n_nationkey % 6 < 4""")
+SELECT n_nationkey AS k, ['epub', 'fb2', 'fb2', 'pdf', 'mobi'][n_nationkey % 7 + 1] AS file_format, n_name AS title, 'Ann Lee' AS authors, CASE WHEN n_nationkey % 7 < 3 THEN 'Saga' ELSE '' END AS series, 1990 + n_nationkey AS year,
+       CASE n_nationkey % 7 WHEN 0 THEN 'About ' || n_name WHEN 3 THEN '' WHEN 4 THEN 'About ' || n_name ELSE '<p>About <em>' || n_name || '</em> &amp; more</p><br/>' END AS annotation, CASE WHEN n_nationkey % 7 = 0 AND n_nationkey % 2 = 1 THEN 5 END AS cover_bytes
+FROM nation WHERE n_nationkey % 7 < 5""")
 def ebook_folder(spark, sf_dir):
-    """Files of several formats in nested folders; a broken one and one of another kind give no record."""
+    """Files of all formats in nested folders; a broken one and one of another kind give no record, and too large a cover isn't read."""
     folder = _new_folder(spark, "ebooks")
     for n in _nations(spark, sf_dir):
         k, title, year = n.n_nationkey, n.n_name, 1990 + n.n_nationkey
         pdf = f"%PDF-1.4\n1 0 obj<</Type /Page>>endobj 3 0 obj<</Title ({title}) /Author (Ann Lee) /CreationDate (D:{year}0601)>>endobj".encode()
-        ending, data = [(".epub", _epub(title, year)), (".FB2", _fb2(title, year)), (".fb2.zip", _zipped("b.fb2", _fb2(title, year))), (".pdf", pdf), (".mobi", b"broken"), (".txt", b"other")][k % 6]
+        files = [(".epub", _epub(title, year, 5 if k % 2 else ebooks.COVER_MOST + 1)), (".FB2", _fb2(title, year)), (".fb2.zip", _zipped("b.fb2", _fb2(title, year))), (".pdf", pdf), (".mobi", _mobi(title, year)), (".azw3", b"broken"), (".txt", b"other")]
+        ending, data = files[k % 7]
         shared.put(spark, f"{folder}/d{k % 3}/e{k % 2}/{k}{ending}", data)
     found = ebooks.read_files(spark, folder)
-    return found.select(F.regexp_extract("path", "([0-9]+)[.][A-Za-z0-9.]+$", 1).cast("int").alias("k"), ebooks.file_format(F.col("path")).alias("file_format"), "title", F.array_join("authors", "|").alias("authors"), "series", "year", "annotation")
+    return found.select(
+        F.regexp_extract("path", "([0-9]+)[.][A-Za-z0-9.]+$", 1).cast("int").alias("k"), ebooks.file_format(F.col("path")).alias("file_format"), "title", F.array_join("authors", "|").alias("authors"), "series", "year", "annotation", F.octet_length("cover").alias("cover_bytes")
+    )
 
 
 # ---- runs ------------------------------------------------------------------------------------------------------------
@@ -434,6 +452,17 @@ def snapshot_versions(spark, sf_dir):
 # ---- events ----------------------------------------------------------------------------------------------------------
 
 
+@query("""
+WITH RECURSIVE x AS (SELECT user_id AS k, epoch_us(ts) // 1000 AS ms, bool_or(event_id % 20 = 0) AS total FROM events GROUP BY 1, 2),
+r AS (SELECT k, min(ms) AS ms FROM x GROUP BY k UNION ALL SELECT r.k, (SELECT min(x.ms) FROM x WHERE x.k = r.k AND x.ms > r.ms AND (x.total OR x.ms >= r.ms + 36000000)) FROM r WHERE EXISTS (SELECT 1 FROM x WHERE x.k = r.k AND x.ms > r.ms AND (x.total OR x.ms >= r.ms + 36000000)))
+SELECT k AS user_id, ms FROM r UNION SELECT k, max(ms) FROM x GROUP BY k""")
+def throttle_totals(spark, sf_dir):
+    """New totals are reported at once, and the last event of each key in any case."""
+    ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    rows = table(spark, sf_dir, "events").groupBy("user_id", ms.alias("ms")).agg(F.bool_or(F.col("event_id") % 20 == 0).alias("total"))
+    return ev.throttled(rows, "user_id", every=36_000_000, at_once="total", flush=True)
+
+
 @query("SELECT DISTINCT 'd' || (n_nationkey % 3) || '/e' || (n_nationkey % 2) AS dir, n_nationkey || '.fb2' AS name, 5::BIGINT AS size FROM nation WHERE n_nationkey % 4 <> 0")
 def watch_folder(spark, sf_dir):
     """Files found by the stream over a folder and its subfolders, those of other kinds left out."""
