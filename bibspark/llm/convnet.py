@@ -93,8 +93,7 @@ def _gradients(net: Net, text: bytes, label: float, weight: float) -> tuple[Net,
     x = net.embed[bytes_at].reshape(len(starts), FILTERS, -1)
     g_filters = np.einsum("cfk,cf->kf", x, g_pooled)
     g_x = (g_pooled[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-    g_embed = np.zeros_like(net.embed)
-    np.add.at(g_embed, bytes_at.ravel(), g_x)
+    g_embed = np.stack([np.bincount(bytes_at.ravel(), g_x[:, e], 256) for e in range(EMBED)], 1).astype(np.float32)
     return Net(g_embed, g_filters, g_pooled.sum(0), d * feats, np.array([d], np.float32)), loss
 
 

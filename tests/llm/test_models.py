@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bibspark.llm import brown, convnet, mixing, packing, queries, simhash
+from bibspark.llm import brown, convnet, files, mixing, packing, queries, simhash
 
 from .helpers import documents, saved, words
 from .test_lines import plain_dedup, plain_rules
@@ -434,6 +434,27 @@ def test_pipeline_runs_and_takes_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, saved(docs.limit(0), tmp_path / "none")).count() == 0
 
 
+def test_pipeline_keeps_other_columns_and_takes_long_texts_and_ties(spark):
+    """Every stage but the last returns the documents' own columns with their values, whatever they are called."""
+    mine = {"rule_kept": 77, "rule_text": 78, "dedup_lines": 3, "dedup_removed": 4, "__n": 5, "__id": 6, "__w": 7, "copies": 8, "extra": 9, "ids": 10, "component_id": 11}
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"w{int(i)}" for i in rng.integers(0, 10**6, n))
+    long = "\n".join(text(50) for _ in range(1500))
+    texts = [long, *[text(80) for _ in range(30)], *[text(80)] * 3, None, ""]
+    docs = documents(spark, texts, sources=[None if i % 5 == 0 else "s" for i in range(len(texts))]).withColumns({k: F.lit(v) for k, v in mine.items()})
+    clean, now = set(range(31)), docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = files.written(spark, stage(spark, now, ""), name)
+        rows = now.collect()
+        assert now.columns == docs.columns and all(r[k] == v for r in rows for k, v in mine.items())
+        ids = Counter(r.doc_id for r in rows)
+        if name != "mixing":
+            assert set(ids) >= clean and all(r.text == texts[r.doc_id] for r in rows) and set(ids.values()) == {1}
+            assert len(set(ids) & {31, 32, 33}) == (1 if name == "simhash" else 3)
+    packed = corpus_pipeline.pack(spark, now, "")
+    assert packed.agg(F.sum("length")).first()[0] == sum(r.doc_tokens for r in packed.filter("start = 0").collect())
+
+
 def test_one_of_each_group_stays(spark):
     mine = {"__n": 5, "__key": 6, "___kept": 7, "root": 8, "fp": 9}
     docs = documents(spark, ["a b c d e"] * 40 + ["f g h i j"]).withColumns({k: F.lit(v) for k, v in mine.items()})
