@@ -12,6 +12,7 @@ last; all three are parameters, and nothing else ends training or leaves a text
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass, fields
 
@@ -126,16 +127,15 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_rows: int, max_bytes: int) -> list[tuple[bytes, int]]:
-    """At most ``max_rows`` labelled rows, as many of each label as there are up to half, with whole texts of at most ``max_bytes`` in all."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """(id, y, t): at most ``max_rows`` labelled rows, as many of each label as there are up to half, with whole texts of at most
+    ``max_bytes`` in all.  The driver sees ids and sizes alone."""
     spark = docs.sparkSession
     clean = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     clean = clean.groupBy("id").agg(F.min("y").alias("y"))
     chosen = []
     for y in (0, 1):
         chosen += [(r[0], y) for r in clean.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2).select("id").collect()]
-    if not chosen:
-        return []
     # At most max_rows short rows: a bound that doesn't grow with the data.
     few = F.broadcast(spark.createDataFrame(chosen, "id long, y int"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -147,10 +147,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
         if total + n <= max_bytes:  # else the next that still fits
             total += n
             keep.append((i,))
-    if not keep:
-        return []
-    rows = found.join(F.broadcast(spark.createDataFrame(keep, "id long")), "id").collect()
-    return [(r.t.encode(), r.y) for r in sorted(rows, key=lambda r: r.id)]
+    return found.join(F.broadcast(spark.createDataFrame(keep, "id long")), "id")
+
+
+def learned(sample: DataFrame, epochs: int) -> Net:
+    """The net of a labelled_sample(), trained by one task with one thread: the sample is bounded, and matrices this small lose by sharing."""
+
+    def run(batches):
+        rows = sorted((r["id"], r["y"], r["t"] or "") for b in batches for r in b.to_pylist())
+        net = train([t.encode() for _, _, t in rows], [y for _, y, _ in rows], epochs=epochs)
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps([getattr(net, f.name) for f in fields(Net)])], pa.binary())})
+
+    found = sample.select("id", "y", "t").coalesce(1).mapInArrow(run, "net binary").first()
+    return Net(*pickle.loads(found[0])) if found else new_net()
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None, max_rows: int = 4000, max_bytes: int = 10_000_000, epochs: int = 6) -> DataFrame:
@@ -165,7 +174,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     open_ = labels if held_out is None else labels.filter(~held)
     sample = labelled_sample(docs, open_, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows, max_bytes=max_bytes)
-    shared = spark.sparkContext.broadcast(train([t for t, _ in sample], [y for _, y in sample], epochs=epochs))
+    shared = spark.sparkContext.broadcast(learned(sample, epochs))
 
     def run(batches):
         net = shared.value

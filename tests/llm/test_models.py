@@ -358,10 +358,9 @@ def test_net_sample_is_bounded_in_rows_and_bytes(spark):
     docs = documents(spark, texts, ids=ids).withColumns({"id": F.lit(1), "y": F.lit(2), "t": F.lit("z"), "__id": F.lit(3)})
     labels = spark.createDataFrame([(i, i % 2) for i in sorted(set(ids))], "doc_id long, quality int")
     how = {"id_col": "doc_id", "text_col": "text", "label_col": "quality"}
-    every = convnet.labelled_sample(docs, labels, **how, max_rows=100, max_bytes=10**6)
-    assert sorted(map(len, (t for t, _ in every)))[-2:] == [3000, 200_000] and len(every) == 32
-    assert sum(len(t) for t, _ in convnet.labelled_sample(docs, labels, **how, max_rows=100, max_bytes=5000)) <= 5000
-    assert len(convnet.labelled_sample(docs, labels, **how, max_rows=10, max_bytes=10**6)) == 10
+    taken = lambda rows, size: [r.t for r in convnet.labelled_sample(docs, labels, **how, max_rows=rows, max_bytes=size).collect()]
+    assert sorted(map(len, taken(100, 10**6)))[-2:] == [3000, 200_000] and len(taken(100, 10**6)) == 32
+    assert sum(map(len, taken(100, 5000))) <= 5000 and len(taken(10, 10**6)) == 10 and not taken(0, 10**6)
 
 
 def test_net_is_trained_to_the_end():
