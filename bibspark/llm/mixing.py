@@ -4,7 +4,7 @@ Targets: sources in code-point order, null last, weigh ``weights`` in turn and s
 stops at ``most`` times its source's words and the excess is shared out again by weight until none is above.
 
 Inclusion: a document of a source is expected e = min(most, level * 2 ** (tilt * class)) times, class being the floor of its size's
-binary logarithm: longer documents, which fill a sequence with one text, are likelier.  A source's level is the one at which its
+binary logarithm: longer documents, which fill a sequence with one text, are likelier.  It counts in steps of 2 ** -20.  A source's level is the one at which its
 documents' expected words sum to its target; a source has at most 64 classes, so it is found from as many sums.
 
 Copies: every document gets floor(e) whole copies for certain, and one more with the inclusion probability p = e - floor(e).  These
@@ -48,6 +48,11 @@ def targets(sources: DataFrame, *, weights: Sequence[float] = (5, 2, 1), growth:
     return table.select(F.col("place").alias("src"), "source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
+def _steps(e: str) -> str:
+    """Expected copies in steps of 2 ** -20: the smallest inclusion probability that counts, so that ranks never crowd in one bin."""
+    return f"(floor(({e}) * 1048576D + 0.5D) / 1048576D)"
+
+
 def levels(classes: DataFrame, table: DataFrame, *, most: float, tilt: float) -> DataFrame:
     """table and ``level`` and ``room``: words that certain copies leave; classes are the sums (source, class, words) of sources."""
     weight = f"pow(2D, {float(tilt)}D * x.class)"
@@ -60,7 +65,7 @@ def levels(classes: DataFrame, table: DataFrame, *, most: float, tilt: float) ->
     sums = sums.withColumnRenamed("source", "of")
     out = table.join(sums, F.col("source").eqNullSafe(F.col("of"))).withColumn("c", F.expr("filter(c, x -> x.words > 0)"))
     out = out.withColumn("level", F.expr(f"if(size(c) = 0 or target <= 0, 0D, filter({tried}, {fits})[0].level)"))
-    sure = f"aggregate(c, 0D, (a, x) -> a + x.words * floor(least({float(most)}D, level * {weight})))"
+    sure = f"aggregate(c, 0D, (a, x) -> a + x.words * floor({_steps(f'least({float(most)}D, level * {weight})')}))"
     return out.withColumn("room", F.expr(f"target - {sure}")).drop("c", "of")
 
 
@@ -93,7 +98,7 @@ def allocate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     table = files.written(spark, levels(classes, table, most=most, tilt=tilt), "targets")
 
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "digest", "source"), 11) + 0.5) / float(1 << 53)
-    e = F.least(F.lit(float(most)), F.col("level") * F.pow(F.lit(2.0), F.lit(float(tilt)) * F.col("class")))
+    e = F.expr(_steps(f"least({float(most)}D, level * pow(2D, {float(tilt)}D * class))"))
     units = units.join(table.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     units = units.withColumns({"sure": F.floor(e).cast("long"), "p": e - F.floor(e)})
     # Null where nothing more is to be taken.

@@ -7,7 +7,7 @@ ascending ids; a shard's base, the number of ids in all shards before it, is a p
 that ``base + offset`` is a document's place in the corpus.  Both files can be memory-mapped.
 
 Writing: documents are encoded where they are read, dealt by ranges of (id, first token bytes), sorted within a shard and
-streamed out.  There are as many shards as hold ``shard_bytes`` bytes of text each, and one for each task that can run at once at
+streamed out.  There are as many shards as hold ``shard_bytes`` bytes of text each, and two for each task that can run at once at
 the least; their bounds are quantiles of a sample of as many rows a shard at any size, so that an id that repeats often
 is dealt over several.  An attempt writes files of its own names and only a finished attempt's names enter the manifest, so
 that lost executors and second attempts leave nothing wrong behind.  Reading maps local files, and takes ranges of the
@@ -37,7 +37,7 @@ from .tokens import vocabulary_size, word_ids
 #: A null document id in an .idx file.
 _NULL = np.iinfo(np.int64).min
 #: Token bytes of a document that tell its place among rows of one id; sampled rows for each shard.
-_HEAD, _SAMPLE = 32, 16
+_HEAD, _SAMPLE = 32, 8
 
 
 def selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,7 +51,7 @@ def encoded(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int | Non
         yield batch.column(0), [(words.text(t.as_py()) if t.is_valid else b"") + end for t in batch.column(1)]
 
 
-def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None, shard_bytes: int = 1 << 30) -> dict:
+def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None, shard_bytes: int = 1 << 28) -> dict:
     """Write docs as a corpus below ``uri``, in ``shards`` shards if it is given; returns the manifest.
 
     The driver holds ``_SAMPLE`` small rows for each shard.
@@ -59,7 +59,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     dtype = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
-    n = shards or max(spark.sparkContext.defaultParallelism, -(-(size or 0) // shard_bytes))
+    n = shards or max(2 * spark.sparkContext.defaultParallelism, -(-(size or 0) // shard_bytes))
 
     def place(doc: int | None, ids: bytes) -> tuple:
         return doc is not None, doc or 0, ids[:_HEAD]

@@ -233,16 +233,19 @@ def plain_mix(rows, us, weights=(5, 2, 1), growth=1.5, most=2.0, tilt=0.25, reac
         target = most * sizes[s] if s in capped else weight[s] * level
         own = [d for d, _, x in rows if x == s]
         e = lambda d, t: min(most, t * 2 ** (tilt * max(0, size[d].bit_length() - 1)))
-        low, high = 0.0, 1e9
-        for _ in range(200):  # the level by halving
-            mid = (low + high) / 2
-            low, high = (mid, high) if sum(e(d, mid) * size[d] for d in own) < target else (low, mid)
-        t = high if target else 0.0
-        sure = {d: int(e(d, t) + 1e-9) for d in own}
-        p = {d: max(0.0, e(d, t) - sure[d]) for d in own}
+        steps = lambda d, t: math.floor(e(d, t) * 2**20 + 0.5) / 2**20
+        t, full = 0.0, set()
+        while target and any(size[d] and d not in full for d in own):  # who goes beyond the most is capped, until nobody does
+            t = (target - most * sum(size[d] for d in full)) / sum(size[d] * 2 ** (tilt * (size[d].bit_length() - 1)) for d in own if d not in full and size[d])
+            above = {d for d in own if size[d] and d not in full and t * 2 ** (tilt * (size[d].bit_length() - 1)) > most}
+            if not above:
+                break
+            full |= above
+        sure = {d: int(steps(d, t)) for d in own}
+        p = {d: steps(d, t) - sure[d] for d in own}
         left = target - sum(sure[d] * size[d] for d in own)
-        q = {d: us[d] / (1 - us[d]) * (1 - p[d]) / p[d] for d in own if p[d] > 1e-9 and size[d]}
-        taken, over, seen = set(), None, 0
+        q = {d: us[d] / (1 - us[d]) * (1 - p[d]) / p[d] for d in own if p[d] and size[d]}
+        taken, over = set(), None
         ends = None
         for d in sorted(q, key=lambda d: (q[d] / (1 + q[d]), d)):
             b = min(bins - 1, int(q[d] / (1 + q[d]) * bins))
@@ -251,12 +254,8 @@ def plain_mix(rows, us, weights=(5, 2, 1), growth=1.5, most=2.0, tilt=0.25, reac
                 left -= size[d]
             elif over is None:  # the reach counts from the end of this bin and goes to the end of a bin
                 over, counts = b, Counter(min(bins - 1, int(x / (1 + x) * bins)) for x in q.values())
-                seen = sum(n for k, n in counts.items() if k <= over)
-                for k in sorted(k for k in counts if k > over):
-                    seen += counts[k]
-                    if seen >= sum(n for j, n in counts.items() if j <= over) + reach:
-                        ends = k
-                        break
+                upto = lambda k: sum(n for j, n in counts.items() if j <= k)  # noqa: B023, E731
+                ends = next((k for k in sorted(counts) if k >= over and upto(k) >= upto(over) + reach), None)
         out |= {d: sure[d] + (d in taken) for d in own}
     return out
 
@@ -286,6 +285,13 @@ def test_mixing_takes_by_unequal_odds(spark):
         assert abs(sum(r.copies * r.size for r in got) - 0.3 * sum(r.size for r in got)) <= 8
 
 
+def test_mixing_at_whole_and_nearly_whole_copies(spark):
+    """Where the expected copies are a whole number, or differ from it by next to nothing, nothing is ranked and nothing crowds."""
+    for growth in (1.0, 1.0 + 1e-9, 1.0 - 1e-9):
+        got = mixing.allocate(documents(spark, ["a b c d"] * 500 + ["e " * 40] * 20, ["s"] * 520), growth=growth, tilt=0.0).collect()
+        assert {r.copies for r in got} == {1}
+
+
 def test_mixing_certain_copies_of_long_documents(spark):
     """Where the level takes long documents to the most, they are taken so for certain and the others share the rest."""
     texts = ["a " * 5000] * 3 + ["b " * 3] * 600
