@@ -7,7 +7,6 @@ import os
 import sqlite3
 import struct
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +29,6 @@ from .streaming import events as ev
 _BOOK = ", ".join(BOOK)
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared.shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 # ---- full text with facets, pages, display -----------------------------------------------------------------------------
 
 
@@ -217,7 +212,7 @@ def _nations(spark: SparkSession, sf_dir: str) -> list:
 @query("SELECT 'books.zip/' || n_nationkey || '.fb2' AS source_path, n_name AS title, 'Ann Lee' AS authors FROM nation WHERE n_nationkey % 4 <> 0 AND n_nationkey % 5 <> 0")
 def inpx_bundle(spark, sf_dir):
     """A bundle and its archives as files: one archive is missing, one is broken, one lacks entries."""
-    folder, nations = _new_folder(spark, "inpx"), _nations(spark, sf_dir)
+    folder, nations = shared.scratch(spark, "inpx"), _nations(spark, sf_dir)
     line = lambda n: "\x04".join(("Lee,Ann,:", "sf:", n.n_name, "", "", str(n.n_nationkey), "1", "9", "1" if n.n_nationkey % 5 == 0 else "0", "fb2"))
     bundle, archive = io.BytesIO(), io.BytesIO()
     with zipfile.ZipFile(bundle, "w") as z:
@@ -273,7 +268,7 @@ SELECT 'calibre:' || n_nationkey AS library_key, n_name AS title, 'Zed|Ann' AS a
 FROM nation, (SELECT unnest(['epub', 'azw3']) AS f) WHERE f = 'epub' OR n_nationkey % 3 = 0""")
 def sqlite_editions(spark, sf_dir):
     """A SQLite library: books with their first language, named custom column, ratings, dates and files."""
-    uri = f"{_new_folder(spark, 'library')}/metadata.db"
+    uri = f"{shared.scratch(spark, 'library')}/metadata.db"
     shared.put(spark, uri, _library(_nations(spark, sf_dir)))
     found = calibre.read(spark, uri, 9)
     return found.select("library_key", "title", F.array_join("authors", "|").alias("authors"), "series", "series_number", "language", "year", "pages", "rating", "added_at", "source_path", "file_size", "arrival")
@@ -318,7 +313,7 @@ SELECT n_nationkey AS k, ['epub', 'fb2', 'fb2', 'pdf', 'mobi'][n_nationkey % 7 +
 FROM nation WHERE n_nationkey % 7 < 5""")
 def ebook_folder(spark, sf_dir):
     """Files of all formats in nested folders; a broken one and one of another kind give no record, and too large a cover isn't read."""
-    folder = _new_folder(spark, "ebooks")
+    folder = shared.scratch(spark, "ebooks")
     for n in _nations(spark, sf_dir):
         k, title, year = n.n_nationkey, n.n_name, 1990 + n.n_nationkey
         pdf = f"%PDF-1.4\n1 0 obj<</Type /Page>>endobj 3 0 obj<</Title ({title}) /Author (Ann Lee) /CreationDate (D:{year}0601)>>endobj".encode()
@@ -437,7 +432,7 @@ def manual_edits(spark, sf_dir):
 @query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'new ' || n_name ELSE n_name END AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'error' ELSE 'active' END AS status FROM nation WHERE n_nationkey % 5 <> 0")
 def snapshot_versions(spark, sf_dir):
     """Inserts, updates and deletes of libraries as versions; readers see the last."""
-    store = rc.Store(spark, _new_folder(spark, "store"))
+    store = rc.Store(spark, shared.scratch(spark, "store"))
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("active").alias("status"))
     kinds = {c.split()[0]: c.split()[1] for c in rc.TABLES["libraries"].split(", ")}
     whole = lambda df: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
@@ -466,7 +461,7 @@ def throttle_totals(spark, sf_dir):
 @query("SELECT DISTINCT 'd' || (n_nationkey % 3) || '/e' || (n_nationkey % 2) AS dir, n_nationkey || '.fb2' AS name, 5::BIGINT AS size FROM nation WHERE n_nationkey % 4 <> 0")
 def watch_folder(spark, sf_dir):
     """Files found by the stream over a folder and its subfolders, those of other kinds left out."""
-    folder = _new_folder(spark, "watched")
+    folder = shared.scratch(spark, "watched")
     for n in _nations(spark, sf_dir):
         k = n.n_nationkey
         shared.put(spark, f"{folder}/d{k % 3}/e{k % 2}/{k}.{'txt' if k % 4 == 0 else 'fb2'}", b"12345")

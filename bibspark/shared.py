@@ -7,6 +7,7 @@ folder is set and Spark runs in one process (tests) is a temporary folder chosen
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -54,9 +55,27 @@ def put(spark: SparkSession, uri: str, data: bytes) -> None:
     out.close()
 
 
+_RUN = uuid.uuid4().hex[:12]
+_TOPS: set[str] = set()
+
+
+def _remove_quietly(spark: SparkSession, uri: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        remove(spark, uri)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's URI in the shared folder; what is left of it goes when the driver's Python ends."""
+    top = f"{shared_dir(spark)}/bibspark-{_RUN}"
+    if top not in _TOPS:
+        _TOPS.add(top)
+        atexit.register(_remove_quietly, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df, computed once into a new table of the shared folder: this cuts the lineage and survives lost executors."""
-    uri = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    uri = scratch(spark, name)
     df.write.parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
