@@ -1,58 +1,27 @@
-"""Places that the driver and all executors share, and files in them.
-
-Scratch data lives below the folder that the cluster names in ``spark.checkpoint.dir``.  Only where no such
-folder is set and Spark runs in one process (tests) is a temporary folder chosen.
-"""
+"""Scratch tables in the folder that the driver and all executors share, and files that executors' Python reads and writes."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_RUN = uuid.uuid4().hex[:12]
+from .. import shared
+from ..shared import remove
+
 #: Folders of scratch tables, by the innermost settled() that made them.
 _MADE: list[list[str]] = [[]]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; raises where a cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="bibspark-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's URI in the shared folder; removed by settled(), or else when the driver's Python ends."""
-    top = f"{shared_dir(spark)}/bibspark-{_RUN}"
-    if top not in _TOPS:
-        _TOPS.add(top)
-        atexit.register(_remove_quietly, spark, top)
-    uri = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+    uri = shared.scratch(spark, name)
     _MADE[-1].append(uri)
     return uri
 
 
-_TOPS: set[str] = set()
-
-
-def _remove_quietly(spark: SparkSession, uri: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may have ended first
-        remove(spark, uri)
-
-
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df, computed once into a table of the shared folder: this cuts the lineage and survives lost executors."""
     path = scratch(spark, name)
@@ -88,12 +57,6 @@ def rounds(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
     return keep
 
 
-def remove(spark: SparkSession, uri: str) -> None:
-    """Delete a folder by the file system that Spark uses for it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def inner(*tables: DataFrame) -> str:
     """A prefix for columns of one's own: underscores, more of them than any column of these tables begins with."""
     lead = max((len(c) - len(c.lstrip("_")) for t in tables for c in t.columns), default=0)
