@@ -19,7 +19,7 @@ driver holds the classes-by-classes counts and an item's class, a byte or two ea
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -36,8 +36,10 @@ SUFFIXES, DISCOUNT, PRIOR, FLOOR = 2048, 0.5, 8.0, 0.1
 END = b""
 #: Items whose counts one task adds up at a time.
 _BUCKET = 16384
-#: Items and classes beside them that a task sorts and sums before it sends them.
+#: Items and classes beside them that a task sorts and sums at a time.
 _KEYS = 1 << 23
+#: Bytes of packed sums that a task gathers before it sends them.
+_PACKED = 1 << 26
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -156,8 +158,8 @@ def _blob(x: np.ndarray, kind: str) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, kind).data)
 
 
-def _unblob(data: pa.Scalar, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), kind)
+def _unblob(data: pa.Scalar | bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data if isinstance(data, bytes) else data.as_buffer()), kind)
 
 
 def coded(docs: DataFrame, vocab: Vocabulary, words: DataFrame | None = None, *, block_tokens: int = 2_000_000) -> DataFrame:
@@ -250,7 +252,7 @@ def _planes(x: np.ndarray) -> bytes:
     return _blob(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T, "u1")
 
 
-def _unplanes(data: pa.Scalar) -> np.ndarray:
+def _unplanes(data: pa.Scalar | bytes) -> np.ndarray:
     return np.ascontiguousarray(_unblob(data, "u1").reshape(4, -1).T).view("<u4").ravel()
 
 
@@ -303,29 +305,48 @@ def _by_bucket(texts: DataFrame, classes: np.ndarray, n_classes: int, finish, sc
 
     bounds = (np.arange(n_buckets, dtype=np.uint64) * (rows * width)).astype(kind)
 
-    def sums(held):
+    def sums(held, parts):
+        """Adds the sums of these keys to each bucket's parts, packed; returns their bytes."""
         keys = np.concatenate(held)
         held.clear()
         keys.sort()
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         seen, keys = np.diff(first, append=len(keys)).astype(np.uint32), keys[first]
-        cuts = np.append(np.searchsorted(keys, bounds), len(keys))
-        some = [b for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
-        steps = [_planes(np.diff(keys[cuts[b] : cuts[b + 1]].astype(np.int64), prepend=b * rows * width)) for b in some]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(steps, pa.binary()), pa.array([_planes(seen[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], names=["bucket", "keys", "seen"])
+        cuts, size = np.append(np.searchsorted(keys, bounds), len(keys)), 0
+        for b in range(n_buckets):
+            own = slice(cuts[b], cuts[b + 1])
+            if cuts[b + 1] > cuts[b]:
+                parts[b].append((_planes(np.diff(keys[own].astype(np.int64), prepend=b * rows * width)), _planes(seen[own])))
+                size += sum(map(len, parts[b][-1]))
+        return size
+
+    def merged(parts):
+        """A row for each bucket: a task's parts of it as one."""
+        for b, own in parts.items():
+            if len(own) > 1:
+                keys = np.concatenate([np.cumsum(_unplanes(k), dtype=np.int64) for k, _ in own])
+                order = np.argsort(keys, kind="stable")
+                keys, seen = keys[order], np.concatenate([_unplanes(n) for _, n in own])[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                parts[b] = [(_planes(np.diff(keys[first], prepend=0)), _planes(np.add.reduceat(seen.astype(np.int64), first)))]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(list(parts), pa.int64()), "keys": pa.array([own[0][0] for own in parts.values()], pa.binary()), "seen": pa.array([own[0][1] for own in parts.values()], pa.binary())})
 
     def count(batches):
-        of, held, size = shared.value, [], 0
+        of, held, size, parts, kept = shared.value, [], 0, defaultdict(list), 0
         for at in _training(batches):
             x, c = at.astype(kind), of[at].astype(kind)
             place = ((x & kind(n_buckets - 1)) * kind(rows) + (x >> kind(bits))) * kind(width)
             held += [place + np.roll(c, 1), np.roll(place, 1) + kind(n_classes) + c]
             size += 2 * len(at)
             if size >= _KEYS:
-                yield sums(held)
-                held, size = [], 0
+                kept, size = kept + sums(held, parts), 0
+            if kept >= _PACKED:
+                yield merged(parts)
+                parts, kept = defaultdict(list), 0
         if held:
-            yield sums(held)
+            sums(held, parts)
+        if parts:
+            yield merged(parts)
 
     def total(batches):
         now, held = None, None

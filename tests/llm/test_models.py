@@ -117,6 +117,18 @@ def test_brown_clusters_every_repeated_word(spark):
     assert set(m.vocab.words) == {b"a", b"", b"once"} | {b"six%d" % i for i in range(300)}
 
 
+def test_brown_sums_in_parts(spark, sf_dir, monkeypatch):
+    """However often a task sums and sends, the counts are the same."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    words, vocab = brown.vocabulary(rows)
+    texts, classes = brown.coded(rows, vocab, words, block_tokens=3000), brown.first_classes(vocab, 16)
+    want = brown.contexts(texts, vocab, classes, 16)
+    for keys, packed in ((1, 1 << 26), (9000, 1 << 26), (9000, 1)):
+        monkeypatch.setattr(brown, "_KEYS", keys)
+        monkeypatch.setattr(brown, "_PACKED", packed)
+        assert (brown.contexts(texts, vocab, classes, 16) == want).all()
+
+
 def test_brown_exchange_on_executors(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
     words, vocab = brown.vocabulary(rows)
