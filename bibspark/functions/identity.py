@@ -30,6 +30,8 @@ BIBLIOGRAPHIC = {
     "alb": "sqi", "arm": "hye", "baq": "eus", "bur": "mya", "chi": "zho", "cze": "ces", "dut": "nld", "fre": "fra", "geo": "kat", "ger": "deu",
     "gre": "ell", "ice": "isl", "mac": "mkd", "mao": "mri", "may": "msa", "per": "fas", "rum": "ron", "slo": "slk", "tib": "bod", "wel": "cym",
 }
+#: Withdrawn two-letter codes, each with the code that the registry of subtags prefers.
+DEPRECATED = {"in": "id", "iw": "he", "ji": "yi", "jw": "jv", "mo": "ro"}
 #: Three-letter codes of languages without a two-letter code; a deployment may know more.
 THREE_LETTERS = ["ang", "arc", "ast", "bho", "ceb", "chr", "cop", "crh", "csb", "dum", "egy", "enm", "fil", "fro", "frm", "fur", "gmh", "goh", "got", "grc", "gsw", "haw", "hsb", "jbo", "kab", "kok", "lad", "mai", "mga", "mul", "nap", "nds", "non", "pap", "pro", "sah", "scn", "sco", "sga", "sux", "syr", "szl", "tlh", "tpi", "tyv", "vec", "war", "zza"]
 
@@ -39,7 +41,7 @@ def language_codes(more: list[str] | None = None) -> dict[str, str]:
     codes = LANGUAGES.split()
     two = dict(zip(codes[1::2], codes[::2], strict=True))
     known = {c: c for c in [*THREE_LETTERS, *(more or [])]} | two | {c: c for c in two.values()}
-    return known | {b: known[t] for b, t in BIBLIOGRAPHIC.items()}
+    return known | {b: known[t] for b, t in BIBLIOGRAPHIC.items()} | DEPRECATED
 
 
 def literal_map(table: dict[str, str]) -> Column:

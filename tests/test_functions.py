@@ -95,7 +95,7 @@ def test_title_acceptable(spark, query, title, ok):
     assert one(spark, tx.title_acceptable(tokens, F.col("t")), q=query, t=title) is ok
 
 
-@pytest.mark.parametrize(("code", "base"), [("en-US", "en"), ("EN", "en"), ("eng", "en"), ("ger", "de"), ("und", ""), ("english", ""), ("", ""), (" ru ", "ru"), ("en-Latn-US", "en"), ("grc", "grc"), ("zz", ""), ("pt_BR", "pt"), (None, "")])
+@pytest.mark.parametrize(("code", "base"), [("en-US", "en"), ("EN", "en"), ("eng", "en"), ("ger", "de"), ("und", ""), ("english", ""), ("", ""), (" ru ", "ru"), ("en-Latn-US", "en"), ("grc", "grc"), ("zz", ""), ("pt_BR", "pt"), (None, ""), ("iw", "he"), ("in-ID", "id"), ("xyz", "")])
 def test_language(spark, code, base):
     assert one(spark, idt.language(F.col("c").cast("string")), c=code) == base
 
