@@ -94,7 +94,7 @@ class Items(dict):
 
 def vocabulary(training: DataFrame, *, share: float = 0.0, min_count: int = 5, flush: int = 250_000) -> tuple[DataFrame, Vocabulary]:
     """The counted vocabulary (word, c, item) as a written table, item null for words of suffix items, and its summary."""
-    spark = training.sparkSession
+    spark, made = training.sparkSession, files.mark()
 
     def count(batches):
         seen: Counter = Counter()
@@ -135,6 +135,7 @@ def vocabulary(training: DataFrame, *, share: float = 0.0, min_count: int = 5, f
     for r in rest:
         n[r.s], t[r.s] = r.n, r.t
     items = files.written(spark, top.unionByName(words.filter(~frequent).select("word", "c", F.lit(None).cast("long").alias("item"))), "items")
+    files.drop_since(spark, made)
     return items, Vocabulary(int(total), int(distinct), int(size), items.filter("item is not null"), n, t)
 
 
@@ -167,7 +168,7 @@ def coded(docs: DataFrame, vocab: Vocabulary, words: DataFrame | None = None, *,
 
     Rows without doc_id or held_out are training texts.
     """
-    spark = docs.sparkSession
+    spark, made = docs.sparkSession, files.mark()
     words = vocab.table if words is None else words
     kinds = {"doc_id": ("long", None), "text": ("string", None), "held_out": ("boolean", False)}
     docs = docs.select(*((F.col(c) if c in docs.columns else F.lit(none)).cast(kind).alias(c) for c, (kind, none) in kinds.items()))
@@ -244,7 +245,9 @@ def coded(docs: DataFrame, vocab: Vocabulary, words: DataFrame | None = None, *,
                 })
 
     kinds = "doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, within array<double>, items binary, n_train long"
-    return files.written(spark, back.mapInArrow(number, kinds), "coded")
+    out = files.written(spark, back.mapInArrow(number, kinds), "coded")
+    files.drop_since(spark, made)
+    return out
 
 
 def _planes(x: np.ndarray) -> bytes:

@@ -42,6 +42,18 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     return out
 
 
+def mark() -> int:
+    """For drop_since(): where the scratch tables stand that are yet to be made."""
+    return len(_MADE[-1])
+
+
+def drop_since(spark: SparkSession, at: int) -> None:
+    """Remove the scratch tables made since mark(), all but the last, which no longer needs them."""
+    for uri in _MADE[-1][at:-1]:
+        remove(spark, uri)
+    del _MADE[-1][at:-1]
+
+
 def rounds(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
     """written() for the rounds of an iteration: of earlier rounds only the last one stays, as the next is computed from it."""
     last: list[str] = []
