@@ -12,14 +12,14 @@ documents are ranked by Q = odds(U) / odds(p), U a hash of the document, and tak
 certain copies leave of the target: a sample of fixed size in words with unequal probabilities.  The first that doesn't fit
 ends the main part; of the ``reach`` that follow in order, at least, those that still fit are taken as well.
 
-A source's order is cut by a histogram of ``BINS`` bins over Q / (1 + Q), summed with partial aggregation; only the documents
-from the bin of the cut to the end of the reach are sorted, so that a source with a third of all rows lands in no single task.  U
+A source's order is cut by a histogram of ``BINS`` bins over Q / (1 + Q), summed with partial aggregation, by groups of bins first; only
+the documents from the bin of the cut to the end of the reach are sorted, so that a source with a third of all rows lands in no single task.  U
 depends on the document alone: reruns agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..ranks import ranked
 from . import files
 
-BINS = 1 << 16
+BINS, GROUP = 1 << 16, 1 << 8
 
 
 def targets(sources: DataFrame, *, weights: Sequence[float] = (5, 2, 1), growth: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -69,6 +69,35 @@ def levels(classes: DataFrame, table: DataFrame, *, most: float, tilt: float) ->
     return out.withColumn("room", F.expr(f"target - {sure}")).drop("c", "of")
 
 
+def _cuts(units: DataFrame, reach: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(src, low, left, high) of sources whose room is filled: the bin where that happens, the words left before it, and the bin where
+    the reach ends, null if no more documents are there.
+
+    Bins stand in groups of ``GROUP``: running sums go over a source's groups, and then over the bins of the one group that
+    matters, so that a task sees BINS / GROUP or GROUP rows of a source.
+    """
+    upto = lambda what, key, order: F.sum(what).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    bins = units.filter("bin is not null").groupBy("src", "bin", "room").agg(F.sum("words").alias("s"), F.count("*").alias("n"))
+    bins = keep(bins.withColumn("group", F.expr(f"bin div {GROUP}")), "bins")
+    groups = bins.groupBy("src", "group", "room").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    groups = groups.withColumns({"s_upto": upto("s", ["src"], "group"), "n_upto": upto("n", ["src"], "group")})
+
+    def inside(found: DataFrame) -> DataFrame:
+        """The bins of the group found in each source, with running sums of the whole source."""
+        own = bins.join(found.select("src", "group", (F.col("s_upto") - F.col("s")).alias("s_before"), (F.col("n_upto") - F.col("n")).alias("n_before")), ["src", "group"])
+        return own.withColumns({"s_upto": F.col("s_before") + upto("s", ["src"], "bin"), "n_upto": F.col("n_before") + upto("n", ["src"], "bin")})
+
+    def first(rows: DataFrame, by: str) -> DataFrame:
+        """The row of the least ``by`` in each source."""
+        return rows.groupBy("src").agg(F.min_by(F.struct(*rows.columns), by).alias("x")).select("x.*")
+
+    cut = first(inside(first(groups.filter("s_upto > room"), "group")).filter("s_upto > room"), "bin")
+    cut = keep(cut.select("src", F.col("bin").alias("low"), (F.col("room") - F.col("s_upto") + F.col("s")).alias("left"), (F.col("n_upto") + reach).alias("ends")), "cut")
+    ends = first(groups.join(cut.select("src", "ends"), "src").filter("n_upto >= ends"), "group")
+    ends = first(inside(ends).join(cut.select("src", "ends"), "src").filter("n_upto >= ends"), "bin")
+    return cut.select("src", "low", "left").join(ends.select("src", F.col("bin").alias("high")), "src", "left")
+
+
 def _filled(reach: pd.DataFrame) -> pd.DataFrame:
     """Of one source's documents around the cut, those taken in their order while they fit."""
     reach = reach.assign(null=reach["doc_id"].notna()).sort_values(["v", "null", "doc_id", "digest"], kind="stable")
@@ -106,14 +135,7 @@ def allocate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     units = units.withColumn("v", F.col("q") / (1 + F.col("q"))).withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int"))
     units = files.written(spark, units.select("doc_id", "source", "digest", "rows", "size", "words", "source_size", "target", "sure", "src", "room", "v", "bin"), "ranks")
 
-    # At most BINS rows a source: the bin in which its room is filled, and the last bin that is reached from there.
-    bins = units.filter("bin is not null").groupBy("src", "bin", "room").agg(F.sum("words").alias("s"), F.count("*").alias("n"))
-    upto = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumns({"s_upto": F.sum("s").over(upto), "n_upto": F.sum("n").over(upto)})
-    cut = F.col("s_upto") > F.col("room")
-    bins = bins.withColumn("n_cut", F.min(F.when(cut, F.col("n_upto"))).over(Window.partitionBy("src")))
-    cuts = bins.filter(cut).groupBy("src").agg(F.min("bin").alias("low"), F.min_by(F.col("room") - F.col("s_upto") + F.col("s"), "bin").alias("left"), F.min(F.when(F.col("n_upto") >= F.col("n_cut") + reach, F.col("bin"))).alias("high"))
-    cuts = files.written(spark, cuts, "cuts")
+    cuts = files.written(spark, _cuts(units, reach, lambda df, name: files.written(spark, df, name)), "cuts")
     marked = units.join(cuts.withColumnRenamed("src", "cut_src"), F.col("src") == F.col("cut_src"), "left")
     near = F.coalesce((F.col("bin") >= F.col("low")) & (F.col("bin") <= F.coalesce("high", F.lit(BINS))), F.lit(False))
     below = F.col("bin").isNotNull() & (F.col("low").isNull() | (F.col("bin") < F.col("low")))
