@@ -346,11 +346,13 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), path.alias("source_path"), F.col("l_partkey").alias("part")).distinct()
 
 
-def _library_run(spark: SparkSession, sf_dir: str) -> rc.Run:
-    paths = _paths(spark, sf_dir)
-    known = paths.filter("part % 7 <> 0").select("source_path", "book_id", F.lit(10).cast("long").alias("file_size"), F.lit(1).cast("long").alias("mtime"))
+def _library_run(spark: SparkSession, sf_dir: str, *, apart: bool = False) -> rc.Run:
+    """A run that files the paths of every 11th part under another book: 1,000,000 further on, or apart from all keys, as (new, id)."""
+    paths, book = _paths(spark, sf_dir), F.col("book_id")
+    old, new = (F.struct(F.lit(x).alias("new"), book.alias("id")) for x in (False, True)) if apart else (book, book + 1_000_000)
+    known = paths.filter("part % 7 <> 0").select("source_path", old.alias("book_id"), F.lit(10).cast("long").alias("file_size"), F.lit(1).cast("long").alias("mtime"))
     found = paths.filter("part % 5 <> 0").select("source_path", F.when(F.col("part") % 11 == 0, 11).otherwise(10).cast("long").alias("file_size"), F.lit(1).cast("long").alias("mtime"))
-    grouped = paths.filter("part % 5 <> 0 and (part % 7 = 0 or part % 11 = 0)").select("source_path", F.when(F.col("part") % 11 == 0, F.col("book_id") + 1_000_000).otherwise(F.col("book_id")).alias("book_id"))
+    grouped = paths.filter("part % 5 <> 0 and (part % 7 = 0 or part % 11 = 0)").select("source_path", F.when(F.col("part") % 11 == 0, new).otherwise(old).alias("book_id"))
     return rc.run(known, found, grouped)
 
 
@@ -367,7 +369,8 @@ def run_to_parse(spark, sf_dir):
 
 @query(f"WITH {_PATHS} SELECT DISTINCT book_id FROM p WHERE part % 7 <> 0 EXCEPT SELECT book_id FROM p WHERE part % 5 <> 0 AND part % 11 <> 0")
 def run_emptied_books(spark, sf_dir):
-    return _library_run(spark, sf_dir).emptied
+    """Books that keep no file; those under which the run files moved ones are none of the known, however far the keys reach."""
+    return _library_run(spark, sf_dir, apart=True).emptied.select(F.col("book_id.id").alias("book_id"))
 
 
 @query(f"WITH {_PATHS} SELECT source_path, book_id FROM p WHERE part % 7 <> 0 AND part % 11 = 0 AND part % 5 <> 0")

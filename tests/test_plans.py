@@ -192,3 +192,11 @@ def test_run_of_a_library(spark):
     assert sorted(map(tuple, run.files.collect())) == [("a", 1), ("b", 1), ("d", 9), ("e", 9)]
     assert sorted(r.book_id for r in run.emptied.collect()) == [2, 3] and tuple(run.counts.first()) == (1, 1, 2, 1)
     assert sorted(map(tuple, rc.run(known, found).files.select("source_path", "book_id").collect())) == [("a", 1), ("b", 1), ("d", 3)]
+
+
+def test_book_that_only_a_moved_file_keeps(spark):
+    """A known book whose own files are gone isn't empty if the run files a moved one there; the book that file leaves is."""
+    known = spark.createDataFrame([("a", 1, 10, 1), ("b", 2, 10, 1)], "source_path string, book_id long, file_size long, mtime long")
+    found = spark.createDataFrame([("a", 11, 1)], "source_path string, file_size long, mtime long")
+    run = rc.run(known, found, spark.createDataFrame([("a", 2)], "source_path string, book_id long"))
+    assert [tuple(r) for r in run.files.collect()] == [("a", 2)] and [r.book_id for r in run.emptied.collect()] == [1]
